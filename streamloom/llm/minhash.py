@@ -173,7 +173,8 @@ def near_duplicates(
     same = ["n_shingles", "s1", "s2"]
     usable = features.where("n_shingles > 0 and doc_id is not null")
     first = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = stage(usable.select("doc_id", *same).join(first.where("copies > 1").hint("merge"), same).where("doc_id != rep").select("doc_id", "rep"), "copies")
+    crowds = stage(first.where("copies > 1"), "crowds")  # read anew, so that the join can split a large one
+    copies = stage(usable.select("doc_id", *same).join(crowds.hint("merge"), same).where("doc_id != rep").select("doc_id", "rep"), "copies")
     reps = usable.join(copies.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(
         F.col("doc_id").alias("rep"), "n_shingles", "halves"
     )
@@ -181,6 +182,7 @@ def near_duplicates(
     # Halves that only one document has can be in no shared table entry.
     halves = reps.select("rep", "n_shingles", F.posexplode("halves").alias("at", "h"))
     shared = halves.groupBy("at", "h").agg(F.count("*").alias("k")).where("k > 1").select("at", "h")
+    shared = stage(shared, "shared")
     kept_halves = halves.join(shared.hint("merge"), ["at", "h"])
     pieces = kept_halves.groupBy("rep", "n_shingles").agg(F.collect_list(F.struct("at", "h")).alias("hs"))
     a_side = F.filter("hs", lambda x: x.at < bands)
