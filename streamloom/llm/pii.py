@@ -326,7 +326,7 @@ def decoded_spans(texts: list[str], weights: dict) -> list[list[tuple[str, int,
                 while b + 1 < WINDOW and tags[b + 1] == 2 * kind + 2:
                     b += 1
                 end = min(start + b + 1, len(texts[i]))
-                if (a > 0 or start == 0) and (b < WINDOW - 1 or end == len(texts[i])):
+                if start + a < len(texts[i]) and (a > 0 or start == 0) and (b < WINDOW - 1 or end == len(texts[i])):
                     found[i].append((-min(a, WINDOW - 1 - b), start + a, end, KINDS[kind]))
                 j = int(np.searchsorted(marks, b, "right"))
     out = []
