@@ -1,8 +1,7 @@
 """Tool-call linking for chat records, in DataFrame operations only.
 
 Calls and results meet in a hash join by conversation and call identifier; calls are put in
-topological order of the calls they depend on, a level at a time; arguments are validated against
-field schemas; and every record is written as canonical JSON: keys sorted, no white space, absent
+topological order of the calls they depend on; arguments are validated against field schemas; and every record is written as canonical JSON: keys sorted, no white space, absent
 fields left out. No conversation is gathered into one row: records carry their order.
 """
 
@@ -23,34 +22,72 @@ def json_text(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substring(wrapped, F.lit(2), F.char_length(wrapped) - 2))
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(conv_id, call_id, level) of calls (conv_id, call_id, depends_on).
+def _jumps(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, dist, open) of calls (conv_id, call_id, to) with one dependency each.
 
-    A call with no known dependency has level 0, any other one more than the highest that it
-    depends on. Calls in or behind a cycle have no level. Unknown identifiers are no dependencies.
-    One round for each level; each works on the calls that are still open.
+    to is where the chain of single dependencies ends, dist steps away. Every round doubles the
+    steps, so that a chain of n calls takes log2(n) rounds; chains that are open after that many
+    rounds run into a cycle.
     """
-    known = calls.select("conv_id", "call_id").where("call_id is not null").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).distinct()
-    edges = stage(edges.join(known.withColumnRenamed("call_id", "dep").hint("merge"), ["conv_id", "dep"], "left_semi"), "edges")
-    held = edges.select("conv_id", "call_id").distinct()
-    done = stage(known.join(held.hint("merge"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    parts, fresh, waiting = [done], done, edges
-    for level in range(1, max_rounds + 1):
-        if waiting.isEmpty():
+    ends = single.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("open"))
+    now = single.withColumn("dist", F.lit(1).cast("long")).join(ends.hint("merge"), ["conv_id", "to"], "left")
+    now = stage(now.select("conv_id", "call_id", "to", "dist", F.coalesce("open", F.lit(False)).alias("open")), "jumps")
+    longest = now.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        on = now.where("open")
+        if on.isEmpty():
             break
-        met = fresh.select("conv_id", F.col("call_id").alias("dep"))
-        waiting = stage(waiting.join(met.hint("merge"), ["conv_id", "dep"], "left_anti"), "waiting")
-        still = waiting.select("conv_id", "call_id").distinct()
-        fresh = stage(held.join(still.hint("merge"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "level")
+        there = now.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("open").alias("goes_on"))
+        moved = on.drop("open").join(there.hint("merge"), ["conv_id", "to"]).select(
+            "conv_id", "call_id", F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("goes_on").alias("open")
+        )
+        now = stage(now.where("not open").union(moved), "jumps")
+    return now
+
+
+def _joint_levels(joints: DataFrame, done: DataFrame) -> DataFrame:
+    """done (conv_id, call_id, level) with the calls of joints (conv_id, call_id, to, steps) added.
+
+    A call's level is the highest of steps + the level of to. One round for each level of calls
+    that depend on several; those that reach a cycle never come up.
+    """
+    waiting, fresh = stage(joints.withColumn("got", F.lit(None).cast("long")), "waiting"), done
+    while not waiting.isEmpty():
+        met = fresh.select("conv_id", F.col("call_id").alias("to"), "level")
+        met = stage(
+            waiting.join(met.hint("merge"), ["conv_id", "to"], "left").select("conv_id", "call_id", "to", "steps", F.coalesce("got", F.col("steps") + F.col("level")).alias("got")), "met"
+        )
+        per = met.groupBy("conv_id", "call_id").agg(F.max("got").alias("level"), (F.count("got") == F.count("*")).alias("whole"))
+        fresh = stage(per.where("whole").drop("whole"), "level")
         if fresh.isEmpty():
             break
-        held = stage(still, "held")
-        parts.append(fresh)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        waiting = stage(met.join(fresh.select("conv_id", "call_id").hint("merge"), ["conv_id", "call_id"], "left_anti"), "waiting")
+        done = stage(done.union(fresh), "levels")
+    return done
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls (conv_id, call_id, depends_on).
+
+    A call with no known dependency has level 0, any other one more than the highest that it
+    depends on. Calls in or behind a cycle have no row; nor have those without a conversation or
+    an identifier. Unknown identifiers are no dependencies. Chains of single dependencies are
+    followed by doubling, whatever their length; calls that depend on several wait for each other
+    a level at a time.
+    """
+    known = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
+    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).where("call_id is not null").distinct()
+    edges = stage(edges.join(known.withColumnRenamed("call_id", "dep").hint("merge"), ["conv_id", "dep"], "left_semi"), "edges")
+    degree = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("to"))
+    jumps = _jumps(degree.where("n = 1").drop("n"))
+    done = stage(known.join(degree.hint("merge"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    several = stage(degree.where("n > 1").select("conv_id", "call_id"), "joints")
+    if not several.isEmpty():
+        ends = jumps.select("conv_id", F.col("call_id").alias("dep"), "to", "dist")
+        joints = edges.join(several.hint("merge"), ["conv_id", "call_id"], "left_semi").join(ends.hint("merge"), ["conv_id", "dep"], "left")
+        done = _joint_levels(joints.select("conv_id", "call_id", F.coalesce("to", "dep").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("steps")), done)
+    behind = jumps.join(done.select("conv_id", F.col("call_id").alias("to"), "level").hint("merge"), ["conv_id", "to"])
+    return done.union(behind.select("conv_id", "call_id", F.col("dist") + F.col("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -60,7 +97,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     be null). results: conv_id, turn, call_id, content. schemas: name, field, kind (string,
     integer, number, boolean, array, object), required.
 
-    status is the first that applies of: no_id, no_call (a result without its call), bad_json
+    status is the first that applies of: no_id (no conversation or no call id), no_call (a result without its call), bad_json
     (arguments that are no JSON object), no_schema, missing_field, wrong_kind, unknown_field,
     cycle, no_result, ok. Of repeated calls or results with one identifier each pair is a record.
     record is canonical JSON; arguments that don't parse are written as a JSON string. Empty
@@ -83,7 +120,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     r = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.lit(True).alias("is_result"))
     both = c.join(r.hint("merge"), ["conv_id", "call_id"], "full_outer")
     status = (
-        F.when(F.col("call_id").isNull(), "no_id")
+        F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), "no_id")
         .when(F.col("is_call").isNull(), "no_call")
         .when(~F.col("fine"), "bad_json")
         .when(~F.col("known"), "no_schema")

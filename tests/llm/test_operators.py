@@ -267,3 +267,23 @@ def test_tool_calls(spark):
     assert [got[1, c].level for c in "abc"] == [0, 1, 2]
     assert got[1, "a"].record == '{"arguments":{"x":1,"y":"é\\""},"content":"done","id":"a","name":"f","status":"ok"}'
     assert toolcalls.link(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
+
+
+def test_call_levels(spark):
+    rnd = random.Random(11)
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else None) for i in range(70)]
+    for conv in range(2, 14):
+        for i in range(12):
+            pool = range(i) if conv % 3 else range(12)
+            rows.append((conv, f"c{i}", [f"c{rnd.choice(pool)}" for _ in range(rnd.choice([0, 1, 1, 2, 3]))] if pool else None))
+    rows += [(None, "a", None), (20, None, ["a"]), (21, "a", ["a"]), (21, "b", ["a"]), (22, "a", [None, "gone"])]
+    deps = {(c, i): {d for d in need or () if (c, d) in {r[:2] for r in rows}} for c, i, need in rows if c is not None and i is not None}
+    want = {}
+    while True:
+        fresh = {k: 1 + max((want[k[0], d] for d in need), default=-1) for k, need in deps.items() if k not in want and all((k[0], d) in want for d in need)}
+        if not fresh:
+            break
+        want |= fresh
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    got = [tuple(r) for r in toolcalls.levels(calls).collect()]
+    assert len(got) == len(want) and {(c, i): n for c, i, n in got} == want and max(want.values()) == 69
