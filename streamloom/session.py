@@ -13,14 +13,17 @@ _own_dirs: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound the rows of an Arrow batch.
+    """Let Python workers import this package, and bound the rows of Arrow and Parquet batches.
 
-    Long texts make row counts a poor measure of memory, so batches are kept to 1,000 rows.
+    Long texts make row counts a poor measure of memory, so Arrow batches are kept to 1,000 rows
+    and 16 MB, and the vectors that Parquet columns are read into to 256 rows.
     """
     environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, environment.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     return spark
 
 
