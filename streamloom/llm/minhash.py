@@ -136,10 +136,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     leader_rows = groups.join(sets.hint("merge"), groups.leader == sets.rep).select(
         "leader", "g", F.col("leader").alias("member"), F.lit(0).alias("head"), "items"
     )
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         leader_rows.union(member_rows)
-        .repartition(n, "leader", "g")
+        .repartition("leader", "g")
         .sortWithinPartitions("leader", "g", "head", "member")
         .mapInArrow(_compare, "leader long, member long, common long, total long")
     )
@@ -269,12 +268,11 @@ def _residual(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold:
     streamed = dealt.select(
         "leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(1), "rep"), "slices").alias("slice"), F.lit(1).alias("head"), "rep", "c"
     )
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         held.union(streamed)
         .join(sets.hint("merge"), "rep")
         .select("leader", "block", "slice", "head", "rep", "c", "items")
-        .repartition(n, "leader", "block", "slice")
+        .repartition("leader", "block", "slice")
         .sortWithinPartitions("leader", "block", "slice", "head", "rep")
         .mapInArrow(_meet(threshold), "a long, b long")
     )

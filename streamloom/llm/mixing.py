@@ -134,7 +134,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     taken = stage(taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_m"), F.sum("copies").alias("_total")).where("_total > 0"), "taken")
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_m", "_total")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    found = sized.join(taken, same)
+    # Hashing the counts of a partition spares sorting its texts; a count is one row of five numbers.
+    found = sized.join(taken.hint("shuffle_hash"), same)
     one = found.where("_m = 1").withColumn("_copies", F.col("_total"))
     turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
     many = found.where("_m > 1").withColumn("_copies", F.floor(F.col("_total") / F.col("_m")) + (turn <= F.col("_total") % F.col("_m")).cast("long"))
