@@ -127,7 +127,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     The members of a leader are dealt over groups of about FAN rows, each with a copy of the
     leader's set, so that a leader of many members doesn't land in one task.
     """
-    counts = pairs.groupBy("leader").agg(F.count("*").alias("k"))
+    pairs = stage(pairs, "found")
+    counts = stage(pairs.groupBy("leader").agg(F.count("*").alias("k")), "counts")  # read anew, as crowds are
     dealt = stage(
         pairs.join(counts.hint("merge"), "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / FAN)).alias("g")), "pairs"
     )
@@ -243,8 +244,9 @@ def _residual(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold:
         .join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
         .select("leader", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
     )
+    labelled = stage(labelled, "labelled")
     spread = labelled.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("leader")
-    rows = stage(labelled.join(spread.hint("merge"), "leader"), "mixed")
+    rows = stage(labelled.join(stage(spread, "spread").hint("merge"), "leader"), "mixed")
     docs = rows.select("rep", "n_shingles", "c").distinct()
     items = docs.join(sets.hint("merge"), "rep").select("rep", "n_shingles", "c", F.explode("items").alias("item"))
     several = items.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("item")
@@ -258,6 +260,7 @@ def _residual(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold:
     left = stage(rows.join(bound.hint("merge"), "rep").select("leader", "rep", "c"), "open")
     per = left.groupBy("leader", "c").agg(F.count("*").alias("k"))
     size = per.groupBy("leader").agg(F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("major")).where("m > most")
+    size = stage(size, "size")
     dealt = left.join(size.hint("merge"), "leader").select(
         "leader", "rep", "c", (F.col("c") != F.col("major")).alias("outside"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("m") / SLICE).alias("slices")
     )
