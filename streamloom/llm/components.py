@@ -25,11 +25,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     mark = _mark(now)
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Aggregates are read anew before they are joined, so that the planner can split a hub.
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = (
             both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, "large")
+        small_least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least.hint("merge"), "u")
         now = stage(
             small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
