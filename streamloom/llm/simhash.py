@@ -146,6 +146,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3, every: int = 20) -> Da
     asked = out.where((F.col("k") % every == 0) & (F.col("k") != _FIRST_ID))
     sizes = out.groupBy("fp").agg(F.sum("m").alias("rows"))
     found = within_radius(out, asked, radius).join(sizes.hint("merge"), "fp").groupBy("query_fp").agg(F.sum("rows").alias("near"))
+    found = stage(found, "near")  # read anew, so that the join can split a fingerprint of many documents
     out = out.join(found.withColumnRenamed("query_fp", "fp").hint("merge"), "fp", "left")
     own = (F.col("k") % every == 0) & (F.col("k") != _FIRST_ID)
     return out.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select(
