@@ -21,9 +21,19 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates, and all without an id.
+
+    Of rows that agree in id and text one is kept, the least by its other columns; an id with
+    several texts keeps each of them.
+    """
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "_rows")
+    found = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"))
+    columns = [f"`{c}`" for c in docs.columns]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    many = found.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_zero"), *[F.col(f"`{c}`") for c in others])).alias("_other"))
+    many = many.select("doc_id", "text", *[F.col("_other")[c].alias(c) for c in others]).select(*columns)
+    return found.where("_rows = 1").select(*columns).union(many).union(docs.where("doc_id is null"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
