@@ -2,8 +2,8 @@
 
 A text's terms are its five-word shingles after lower-casing, each weighted by how often it
 occurs. Every term's 64-bit hash votes on 64 signed bits; a fingerprint's bit is set where more
-than half of the weight votes for it. Votes are summed 3 to a long, in lanes of 22 bits, which
-parts of 2**21 terms cannot overflow.
+than half of the weight votes for it. Votes are summed 3 to a long, in lanes of 22, 22 and 20
+bits, over parts of at most 2**18 terms of one row, which the sign bit leaves room for.
 
 `within_radius` finds fingerprints by permuted block tables: 64 bits are cut into blocks, and for
 each choice of blocks that must agree there is a table keyed by them.
@@ -22,7 +22,7 @@ from streamloom.session import ready, stage
 WORDS = 5
 _LANES, _WIDTH = 22, 22
 _MASK = (1 << 22) - 1
-_PART = 1 << 21
+_PART = 1 << 18
 _SPACE = r"[\x20\x09-\x0D]+"
 _FIRST_ID = -(1 << 63)
 
@@ -40,19 +40,19 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
     as it is. Null texts are empty.
     """
     rows = texts.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(*keys, _words().alias("_w"))
+    rows = rows.select(*keys, F.monotonically_increasing_id().alias("_row"), _words().alias("_w"))
     n = F.size("_w")
     shifted = [F.col("_w"), *[F.slice("_w", i + 1, F.greatest(n, F.lit(1))) for i in range(1, WORDS)]]
     zipped = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
-    rows = rows.select(*keys, n.alias("_n"), F.posexplode_outer(zipped).alias("_at", "_t"))
+    rows = rows.select(*keys, "_row", n.alias("_n"), F.posexplode_outer(zipped).alias("_at", "_t"))
     names = rows.schema["_t"].dataType.fieldNames()
     last = F.col("_t")[names[-1]]
     rows = rows.where((F.col("_n") == 0) | last.isNotNull() | ((F.col("_n") < WORDS) & (F.col("_at") == 0)))
     h = F.xxhash64(*[F.col("_t")[x] for x in names])
-    rows = rows.select(*keys, F.coalesce(F.floor(F.col("_at") / _PART), F.lit(0)).alias("_part"), F.when(F.col("_n") > 0, h).otherwise(0).alias("_h"), (F.col("_n") > 0).cast("long").alias("_one"))
+    rows = rows.select(*keys, "_row", F.coalesce(F.floor(F.col("_at") / _PART), F.lit(0)).alias("_part"), F.when(F.col("_n") > 0, h).otherwise(0).alias("_h"), (F.col("_n") > 0).cast("long").alias("_one"))
     lanes = sum(1 << (_WIDTH * i) for i in range(3))
     sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(lanes))).alias(f"_s{j}") for j in range(_LANES)]
-    parts = rows.groupBy(*keys, "_part").agg(F.sum("_one").alias("_k"), *sums)
+    parts = rows.groupBy(*keys, "_row", "_part").agg(F.sum("_one").alias("_k"), *sums)
     bits = [(j, i) for i in range(3) for j in range(_LANES) if j + _WIDTH * i < 64]
     votes = [F.sum(F.shiftrightunsigned(f"_s{j}", _WIDTH * i).bitwiseAND(F.lit(_MASK))).alias(f"_b{j + _WIDTH * i}") for j, i in bits]
     whole = parts.groupBy(*keys).agg(F.sum("_k").alias("n_terms"), *votes)
@@ -131,6 +131,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3, every: int = 20) -> Da
     t = t.withColumn("th", F.xxhash64("text"))
     order = stage(_following(t), "order")
     before = order.select(F.col("nk").alias("k"), F.col("nth").alias("th"), F.col("k").alias("pk"), F.col("th").alias("pth"), F.floor(F.col("n") / 4).cast("int").alias("cut"))
+    t = t.groupBy("k", "th").agg(F.min("text").alias("text"))  # repeats would meet repeats below; m gives them back
     heads = t.join(before.hint("merge"), ["k", "th"]).select(F.col("pk").alias("k"), F.col("pth").alias("th"), "cut", F.expr("substring(text, 1, cut)").alias("head"))
     both = t.join(heads.hint("merge"), ["k", "th"]).select(
         "k", "th", "text", F.concat(F.expr("substring(text, 1, char_length(text) - cut)"), "head").alias("edited")
