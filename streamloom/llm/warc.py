@@ -1,8 +1,9 @@
 """WARC archives as a chunked record table.
 
-An archive is a table of (archive, record, chunk, last, bytes, digest) rows: the bytes of a
+An archive is a table of (archive, record, chunk, last, bytes, digest, row) rows: the bytes of a
 record's chunks, in order, are its WARC/1.1 bytes, and digest is the SHA-1 of the payload up to
-the end of that chunk. Writing and reading hold one chunk at a time beside the row that Spark
+the end of that chunk. row is a number of each written record's own, which tells records of one
+id (pages given twice, or without an id) apart. Writing and reading hold one chunk at a time beside the row that Spark
 hands over, never a second whole record.
 """
 
@@ -25,7 +26,7 @@ ARCHIVES = 64
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_SCHEMA = "archive int, record string, chunk long, last boolean, bytes binary, digest string"
+_SCHEMA = "archive int, record string, chunk long, last boolean, bytes binary, digest string, row long"
 
 
 def base32_digest(digest: bytes) -> str:
@@ -80,10 +81,10 @@ def _chunks(page_id, url, kind: str, digest: str, refers_to, payload: memoryview
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html, sha1, kind, refers_to) to chunk rows, a few MB at a time."""
+    """Rows (page_id, url, html, sha1, kind, refers_to, row) to chunk rows, a few MB at a time."""
     for batch in batches:
         rows, held = [], 0
-        ids, urls, bodies, hexes, kinds, refers = batch.columns
+        ids, urls, bodies, hexes, kinds, refers, own = batch.columns
         for i in range(batch.num_rows):
             raw = bodies[i].as_buffer()
             payload = memoryview(raw) if raw is not None else memoryview(b"")
@@ -91,7 +92,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = base32_digest(bytes.fromhex(hexes[i].as_py()))
             archive = (0 if page is None else page) % ARCHIVES
             for k, last, data, running in _chunks(page, urls[i].as_py(), kind, digest, refers[i].as_py(), payload):
-                rows.append((archive, record_id(page), k, last, data, running))
+                rows.append((archive, record_id(page), k, last, data, running, own[i].as_py()))
                 held += len(data)
                 if held > 1 << 22:
                     yield _rows(rows)
@@ -100,9 +101,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "record", "chunk", "last", "bytes", "digest"])
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "record", "chunk", "last", "bytes", "digest", "row"])
 
 
 def write_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -119,7 +120,8 @@ def write_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = slim.groupBy("sha1").agg(F.min("page_id").alias("first"))
     again = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     told = slim.join(first.hint("merge"), "sha1").select(
-        "page_id", "url", "html", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to")
+        "page_id", "url", "html", "sha1", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"),
+        F.monotonically_increasing_id().alias("row"),
     )
     return stage(told.mapInArrow(_write, _SCHEMA), "warc")
 
@@ -139,15 +141,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields, seen, size, expect, current = None, None, 0, 0, None
     for batch in batches:
         out = []
-        records, numbers, lasts, datas, digests = (batch.column(i) for i in range(1, 6))
+        records, numbers, lasts, datas, digests, own = (batch.column(i) for i in range(1, 7))
         for i in range(batch.num_rows):
             data = memoryview(datas[i].as_buffer())
             number, last = numbers[i].as_py(), lasts[i].as_py()
-            record = records[i].as_py()
+            record, row = records[i].as_py(), own[i].as_py()
             if number == 0:
-                fields, start = _parse_head(bytes(data[:65536]) if len(data) > 65536 else bytes(data))
-                data, seen, size, expect, current = data[start:], hashlib.sha1(), 0, 0, record
-            if number != expect or record != current:
+                fields, start = _parse_head(bytes(data))
+                data, seen, size, expect, current = data[start:], hashlib.sha1(), 0, 0, row
+            if number != expect or row != current:
                 raise ValueError(f"chunk {number} of {record} came out of order")
             expect += 1
             if last:
@@ -179,5 +181,5 @@ def read_records(chunks: DataFrame) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     alone = chunks.where("chunk = 0 and last").mapInArrow(_read, schema)
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = chunks.where("not (chunk = 0 and last)").repartition(n, "record").sortWithinPartitions("record", "chunk").mapInArrow(_read, schema)
+    long = chunks.where("not (chunk = 0 and last)").repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(_read, schema)
     return alone.union(long)
