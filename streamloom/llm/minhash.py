@@ -86,11 +86,18 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(word_hashes(raw), words) for raw in text_bytes(batch.column(1))]
+            first = np.array([x.sum(dtype=U64) for x in sets], U64).view(np.int64)
+            second = np.array([mix(x).sum(dtype=U64) for x in sets], U64).view(np.int64)
             sizes = [0, *np.cumsum([len(x) for x in sets])]
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))],
-                names=["rep", "items"],
+                [
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array(first),
+                    pa.array(second),
+                    pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64())),
+                ],
+                names=["n_shingles", "s1", "s2", "items"],
             )
 
     return run
@@ -171,13 +178,12 @@ def near_duplicates(
         slim.mapInArrow(_features(words, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>"), "features"
     )
     same = ["n_shingles", "s1", "s2"]
-    usable = features.where("n_shingles > 0 and doc_id is not null")
-    first = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    crowds = stage(first.where("copies > 1"), "crowds")  # read anew, so that the join can split a large one
-    copies = stage(usable.select("doc_id", *same).join(crowds.hint("merge"), same).where("doc_id != rep").select("doc_id", "rep"), "copies")
-    reps = usable.join(copies.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(
-        F.col("doc_id").alias("rep"), "n_shingles", "halves"
-    )
+    # Equal sets are one content, whatever ids have it; links are sought between contents.
+    content = F.xxhash64(*same)
+    usable = features.where("n_shingles > 0 and doc_id is not null").withColumn("rep", content)
+    contents = usable.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
+    contents = stage(contents, "contents")
+    reps = contents.select("rep", "n_shingles", "halves")
 
     # Halves that only one document has can be in no shared table entry.
     halves = reps.select("rep", "n_shingles", F.posexplode("halves").alias("at", "h"))
@@ -210,9 +216,10 @@ def near_duplicates(
 
     pairs = buckets.where("rep != leader").select("leader", F.col("rep").alias("member")).distinct()
     members = buckets.select("rep").distinct()
-    sets = stage(
-        slim.join(members.hint("merge"), slim.doc_id == members.rep, "left_semi").mapInArrow(_sets(words), "rep long, items array<long>"), "sets"
-    )
+    # The least id of a content gives its set, once; other texts of that id are in no pair.
+    givers = contents.select("rep", "doc_id").join(members.hint("merge"), "rep", "left_semi").select("doc_id").distinct()
+    given = slim.join(givers.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "n_shingles long, s1 long, s2 long, items array<long>")
+    sets = stage(given.select(content.alias("rep"), "items").groupBy("rep").agg(F.first("items").alias("items")), "sets")
     checked = stage(_verify(pairs, sets), "checked")
     is_link = F.col("common") * 10_000 >= F.col("total") * bar
     links = checked.where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
@@ -220,8 +227,13 @@ def near_duplicates(
 
     again = stage(_residual(buckets, found, sets, threshold), "again")
     edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(again)
-    edges = edges.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    final = connected_components(edges)
+    joined = connected_components(edges).withColumnRenamed("id", "rep")
+    # Each component of contents goes by its least id; an id of several contents joins theirs.
+    parts = contents.select("rep", "doc_id").join(joined.hint("merge"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("c"))
+    parts = stage(parts, "parts")
+    names = stage(parts.groupBy("c").agg(F.min("doc_id").alias("name")), "names")  # read anew, so that the join can split a large one
+    named = stage(parts.join(names.hint("merge"), "c").select("rep", "name"), "named")
+    final = connected_components(usable.select("doc_id", "rep").join(named.hint("merge"), "rep").select(F.col("doc_id").alias("a"), F.col("name").alias("b")))
     out = features.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
