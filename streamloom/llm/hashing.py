@@ -59,6 +59,18 @@ def _hash_piece(data: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def _hash_long(word: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, as _hash_piece gives it, SEGMENT bytes at a time."""
+    up, _ = _powers(SEGMENT)
+    step = pow(_BASE, SEGMENT, 1 << 64)
+    total, scale = 0, 1
+    for at in range(0, len(word), SEGMENT):
+        part = word[at : at + SEGMENT].astype(U64) + U64(1)
+        total += scale * int((part * up[: len(part)]).sum(dtype=U64))
+        scale = scale * step & (1 << 64) - 1
+    return mix(np.array([(total + len(word) * 0xD6E8FEB86659FD93) & (1 << 64) - 1], U64))
+
+
 def word_hashes(text: np.ndarray, lower: bool = True) -> np.ndarray:
     """Hashes of the words of one text given as UTF-8 bytes."""
     if lower:
@@ -72,26 +84,34 @@ def word_hashes(text: np.ndarray, lower: bool = True) -> np.ndarray:
             cut = np.flatnonzero(SPACE[text[at:end]])
             if len(cut):
                 end = at + int(cut[-1]) + 1
-            else:  # one word longer than a piece: it is hashed whole
-                rest = np.flatnonzero(SPACE[text[end:]])
-                end = end + int(rest[0]) + 1 if len(rest) else len(text)
+            else:  # one word longer than a piece
+                while end < len(text) and not len(cut := np.flatnonzero(SPACE[text[end : end + SEGMENT]])):
+                    end += SEGMENT
+                end = min(end + int(cut[0]) if len(cut) else end, len(text))
+                out.append(_hash_long(text[at:end]))
+                at = end
+                continue
         out.append(_hash_piece(text[at:end]))
         at = end
     return np.concatenate(out)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter."""
+    """Sorted distinct hashes of the k-word shingles; of the whole sequence if it is shorter.
+
+    Words are chained through the finaliser one after the other, so that no two orders of the same
+    words agree but by chance.
+    """
     n = len(words)
     if n == 0:
         return words
     width = min(n, k)
     total = np.full(n - width + 1, (width * 0xA0761D6478BD642F) & (2**64 - 1), U64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            factor = (0xE7037ED1A0B428DB * (2 * j + 1)) & (2**64 - 1)
-            total += words[j : n - width + 1 + j] * U64(factor | 1)
-    out = np.sort(mix(total))
+    for j in range(width):
+        total *= U64(0xE7037ED1A0B428DB)
+        total += words[j : n - width + 1 + j]
+        total = mix(total)
+    out = np.sort(total)
     keep = np.empty(len(out), bool)
     keep[0] = True
     np.not_equal(out[1:], out[:-1], out=keep[1:])
