@@ -100,6 +100,24 @@ e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.k
+""",
+    "op6_toolcalls": r"""
+WITH c AS (SELECT conv_id, turn, 'call-' || turn AS call_id, CASE WHEN turn % 2 = 1 THEN 'reply' ELSE 'open' END AS name, text,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE role = 'assistant'),
+t AS (SELECT DISTINCT conv_id, turn, call_id FROM c WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM t),
+l AS (SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM i),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, words, text) AS occ FROM c),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM conversations WHERE role = 'user'),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY result_turn, content) AS occ FROM r),
+b AS (SELECT coalesce(k.conv_id, q.conv_id) AS conv_id, coalesce(k.call_id, q.call_id) AS call_id, k.turn, q.result_turn, l.level, k.name, k.text, k.words, q.content,
+    CASE WHEN coalesce(k.conv_id, q.conv_id) IS NULL OR coalesce(k.call_id, q.call_id) IS NULL THEN 'no_id' WHEN k.call_id IS NULL THEN 'no_call'
+      WHEN k.text IS NULL THEN 'wrong_kind' WHEN q.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status
+  FROM k FULL JOIN q ON k.conv_id = q.conv_id AND k.call_id = q.call_id AND k.occ = q.occ LEFT JOIN l ON l.conv_id = k.conv_id AND l.call_id = k.call_id)
+SELECT conv_id, call_id, turn, result_turn, level, status, '{' || concat_ws(',',
+  CASE WHEN name IS NOT NULL THEN '"arguments":{"text":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"words":' || words || '}' END,
+  '"content":' || to_json(content)::VARCHAR, '"id":' || to_json(call_id)::VARCHAR, '"name":' || to_json(name)::VARCHAR, '"status":"' || status || '"') || '}' AS record
+FROM b
 """,
     "op8_warc": f"""
 WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
