@@ -4,12 +4,21 @@ A document's copies are its source's target over the source's size, rounded up o
 is dependent: the fractional parts of two documents are pooled, and a draw gives the pool to one
 of them, until one of the two is whole; what is left goes on to the next. This runs as a reduction
 tree: nodes of about FAN documents of one source and about one size, then nodes of FAN residuals,
-and so on; each level decides all but one document of every node. So a source's copies are its
-target to within one document, and its words nearly so, since documents of like size meet first.
+and so on; each level decides all but one document of every node.
+
+The tree keeps the number of copies, not of words, so two steps beside it keep the words. Documents
+that hold more than SHARE of their source's words (at most 1 / SHARE of them) are decided before it,
+largest first, each with the share that is still needed of the words that are left; and so are,
+after it, the last residuals (one for each size class). One is never taken where that overshoots by
+more than leaving it falls short. What they add or lack goes to the rate of those that follow. So
+documents of the tree get their exact expectation for the rate that is left, while those two groups
+are biased to what fits: the mix is not unbiased for each of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +26,8 @@ from streamloom.session import ready, stage
 
 #: Documents or residuals that a node of the tree joins, about.
 FAN = 64
+#: Share of its source's words above which a document is decided before the tree.
+SHARE = 1 / 512
 _WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = "struct<size:bigint,h:bigint,doc_id:bigint,occ:int,p:double>"
 _TINY = 1e-12
@@ -68,15 +79,33 @@ def _fold(units: str, seed: int) -> Column:
     return F.expr(f"aggregate(slice({units}, 2, greatest(size({units}) - 1, 0)), {start}, (s, x) -> {step})")
 
 
-def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17) -> DataFrame:
+def _settle(units: str, need: str, seed: int) -> Column:
+    """struct(need, left, done) of an array of units by falling size, of which about `need` words are to be taken.
+
+    Each is taken with the probability need / left, left being the words of it and all that follow,
+    and those behind the array, too, if the column `words` counts them; where one choice misses the
+    need, or what is left misses it, by less than the other, that choice is made.
+    """
+    take_miss, leave_miss = "greatest(x.size - s.need, 0D)", "greatest(s.need - (s.left - x.size), 0D)"
+    by_draw = f"{_draw(seed, 'x.h')} * s.left < s.need"
+    taken = f"if({take_miss} = {leave_miss}, {by_draw}, {take_miss} < {leave_miss})"
+    unit = f"named_struct('size', x.size, 'h', x.h, 'doc_id', x.doc_id, 'occ', x.occ, 'p', if({taken}, 1D, 0D))"
+    step = f"named_struct('need', s.need - if({taken}, x.size, 0L), 'left', s.left - x.size, 'done', array_append(s.done, {unit}))"
+    start = f"named_struct('need', cast({need} as double), 'left', cast(words as double), 'done', cast(array() as array<{_UNIT}>))"
+    return F.expr(f"aggregate({units}, {start}, (s, x) -> {step})")
+
+
+def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 17, share: float = SHARE) -> DataFrame:
     """(doc_id, source, size, occ, source_size, target, copies) for every row (doc_id, source, size).
 
     Rows that agree in all three are numbered by occ. copies lies within one of target over
     source_size and is 0 where the source has no words; a document never gets more than cap
-    copies. The result depends on the rows and the seed alone.
+    copies. The result depends on the rows and the seed alone. Null ids and sources are values like
+    others and a null size is 0; an empty table gives an empty result. Documents above `share` of their source's words,
+    at most 1 / share of a source, are decided in one fold for each source.
     """
     spark = ready(rows.sparkSession)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
     units = stage(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "units")
     targets = stage(source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -88,13 +117,25 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
         "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("occ"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z")
     )
     each = each.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 2).cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "occ", "s", "z", "size"))
+    each = each.join(known.select("s", "z", "source_size", "p"), ["s", "z"])
+    outsized = F.col("size") > F.col("source_size") * share
+    unit = lambda p: F.struct("size", "h", "doc_id", "occ", p.alias("p")).cast(_UNIT)
+    falling = lambda: F.sort_array(F.collect_list("u"), asc=False)
+
+    # Outsized documents of each source, by falling size; need and left go on to the rest.
+    large = each.where(outsized).select("s", "z", "source_size", "p", unit(F.lit(0.0)).alias("u")).groupBy("s", "z", F.col("source_size").alias("words"), "p").agg(falling().alias("us"))
+    large = stage(large.select("s", "z", _settle("us", "p * words", seed - 1).alias("f")), "large")
+    rest = known.join(large.select("s", "z", "f.need", "f.left"), ["s", "z"], "left")
+    rest = rest.select("s", "z", F.coalesce("need", F.col("p") * F.col("source_size")).alias("need"), F.coalesce("left", F.col("source_size").cast("double")).alias("left"))
+    rate = F.when(F.col("left") > 0, F.least(F.greatest(F.col("need") / F.col("left"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    rest = stage(rest.withColumn("q", rate), "rest")
+    each = each.where(~outsized)
     crowd = stage(each.groupBy("s", "z", "class").agg(F.ceil(F.count("*") / FAN).cast("long").alias("nodes")), "crowd")
     widest = crowd.agg(F.max("nodes")).first()[0] or 0
 
-    placed = each.join(known, ["s", "z"]).join(crowd, ["s", "z", "class"])
-    unit = F.struct("size", "h", "doc_id", "occ", "p").cast(_UNIT)
-    level = placed.select("s", "z", "class", F.pmod("h", "nodes").alias("node"), unit.alias("u"))
-    decided, number = [], 0
+    placed = each.join(rest, ["s", "z"]).join(crowd, ["s", "z", "class"])
+    level = placed.select("s", "z", "class", F.pmod("h", "nodes").alias("node"), unit(F.col("q")).alias("u"))
+    decided, number = [large.select("s", "z", F.explode("f.done").alias("u"))], 0
     while True:
         keys = ["s", "z", "class", "node"]
         nodes = level.groupBy(*keys).agg(F.sort_array(F.collect_list("u")).alias("us"))
@@ -105,18 +146,13 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
             break
         widest = -(-widest // FAN)
         level = folded.select("s", "z", "class", F.floor(F.col("node") / FAN).alias("node"), F.col("f.left").alias("u"))
-    # One residual of each source and size class is left; they are joined by source.
-    last = folded.groupBy("s", "z").agg(F.sort_array(F.collect_list("f.left")).alias("us")).select("s", "z", _fold("us", seed + number).alias("f"))
-    last = stage(last, "last")
+    # One residual of each source and size class is left; they are decided by the words still needed.
+    got = reduce(DataFrame.union, decided[1:]).groupBy("s", "z").agg(F.sum(F.col("u.size") * F.col("u.p")).alias("got"))
+    last = folded.groupBy("s", "z").agg(F.sum("f.left.size").alias("words"), F.sort_array(F.collect_list("f.left"), asc=False).alias("us"))
+    last = last.join(rest, ["s", "z"]).join(got, ["s", "z"], "left").withColumn("need", F.col("need") - F.coalesce("got", F.lit(0.0)))
+    last = stage(last.select("s", "z", _settle("us", "need", seed - 2).alias("f")), "last")
     decided.append(last.select("s", "z", F.explode("f.done").alias("u")))
-    final = F.expr(_draw(seed, "f.left.h"))
-    decided.append(
-        last.select("s", "z", F.struct("f.left.size", "f.left.h", "f.left.doc_id", "f.left.occ", F.when(final < F.col("f.left.p"), 1.0).otherwise(0.0).alias("p")).cast(_UNIT).alias("u"))
-    )
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.union(more)
-    out = out.join(known.drop("p"), ["s", "z"])
+    out = reduce(DataFrame.union, decided).join(known.drop("p"), ["s", "z"])
     return out.select(
         "u.doc_id", F.when(~F.col("z"), F.col("s")).alias("source"), "u.size", "u.occ", "source_size", "target", (F.col("whole") + F.round("u.p")).cast("long").alias("copies")
     )

@@ -171,9 +171,13 @@ def test_mixing(spark):
     for s in order:
         mine = [r for r in rows if r.source == s]
         assert abs(mine[0].target - target[s]) < 1e-6 * target[s] and mine[0].source_size == totals[s]
-        assert abs(sum(r.copies * r["size"] for r in mine) / target[s] - 1) < 0.05
-        assert abs(sum(r.copies for r in mine) - len(mine) * target[s] / totals[s]) <= 1 + 1e-6
+        assert abs(sum(r.copies * r["size"] for r in mine) / target[s] - 1) < 0.01
         assert all(abs(r.copies - target[s] / totals[s]) < 1 and r.copies <= 3 for r in mine)
+    tree = mixing.copies(sized, share=1.0).collect()  # no document is outsized: the tree keeps the number of copies, but for the last residuals
+    for s in order:
+        mine = [r for r in tree if r.source == s]
+        classes = len({int(2 * math.log2(r["size"] + 1)) for r in mine})
+        assert abs(sum(r.copies for r in mine) - len(mine) * target[s] / totals[s]) <= classes
     mixed = mixing.mix(table)
     assert mixed.columns == table.columns and mixed.count() == sum(r.copies for r in rows)
     same = docs(spark, ["a b"] * 6, sources=["s"] * 6, ids=[1] * 6)
