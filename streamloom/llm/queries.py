@@ -87,7 +87,25 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_language, op3_sentencepiece,
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+_VOTES = ", ".join(f"sum(((h >> {j}) & 1)::BIGINT) * 2 > count(h) AS b{j}" for j in range(64))
+_PRINT = " + ".join(f"CASE WHEN b{j} THEN {1 << j}::HUGEINT ELSE 0::HUGEINT END" for j in range(64))
+
 ORACLE = {
+    "op5_simhash": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents),
+e AS (SELECT a.k, a.n, a.doc_id, a.text, left(a.text, length(a.text) - length(a.text) // 4) || left(b.text, length(a.text) // 4) AS edited FROM d a JOIN d b ON b.k = a.k % a.n + 1),
+x AS (SELECT k, 0 AS kind, text FROM e UNION ALL SELECT k, 1, edited FROM e),
+w AS (SELECT k, kind, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM x),
+t AS (SELECT k, kind, unnest(CASE WHEN len(ws) = 0 THEN [NULL] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS term FROM w),
+h AS (SELECT k, kind, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM t),
+v AS (SELECT k, kind, {_VOTES} FROM h GROUP BY k, kind),
+f AS (SELECT k, kind, ({_PRINT})::UBIGINT AS fp FROM v),
+p AS (SELECT e.*, f.fp, g.fp AS efp, z.fp AS nfp FROM e JOIN f ON f.k = e.k AND f.kind = 0 JOIN f g ON g.k = e.k AND g.kind = 1 JOIN f z ON z.k = e.k % e.n + 1 AND z.kind = 0)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, lpad(lower(hex(fp)), 16, '0') AS fingerprint, lpad(lower(hex(efp)), 16, '0') AS edited_fingerprint,
+  1 - bit_count(xor(fp, efp)) / 64.0::DOUBLE AS near_edited, 1 - bit_count(xor(fp, nfp)) / 64.0::DOUBLE AS near_next,
+  CASE WHEN doc_id % 20 = 0 THEN (SELECT count(*) FROM p q WHERE bit_count(xor(p.fp, q.fp)) <= 3) END AS n_near FROM p
+""",
     "op4_minhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -1,7 +1,8 @@
 """Document fingerprints by SimHash, in DataFrame operations only.
 
 A text's terms are its five-word shingles after lower-casing, each weighted by how often it
-occurs. Every term's 64-bit hash votes on 64 signed bits; a fingerprint's bit is set where more
+occurs. Every term's 64-bit hash (the first half of the MD5 of its words, a space between them)
+votes on 64 signed bits; a fingerprint's bit is set where more
 than half of the weight votes for it. Votes are summed 3 to a long, in lanes of 22, 22 and 20
 bits, over parts of at most 2**18 terms of one row, which the sign bit leaves room for.
 
@@ -29,7 +30,7 @@ _FIRST_ID = -(1 << 63)
 
 def _words() -> Column:
     """Lower-cased words of the column _text."""
-    stripped = F.expr("trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM _text)")
+    stripped = F.btrim("_text", F.lit(" \t\n\x0b\f\r"))
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(stripped), _SPACE))
 
 
@@ -48,7 +49,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str = "text") -> D
     names = rows.schema["_t"].dataType.fieldNames()
     last = F.col("_t")[names[-1]]
     rows = rows.where((F.col("_n") == 0) | last.isNotNull() | ((F.col("_n") < WORDS) & (F.col("_at") == 0)))
-    h = F.xxhash64(*[F.col("_t")[x] for x in names])
+    term = F.md5(F.concat_ws(" ", *[F.col("_t")[x] for x in names]).cast("binary"))
+    h = F.conv(F.substring(term, 1, 16), 16, -10).cast("long")
     rows = rows.select(*keys, "_row", F.coalesce(F.floor(F.col("_at") / _PART), F.lit(0)).alias("_part"), F.when(F.col("_n") > 0, h).otherwise(0).alias("_h"), (F.col("_n") > 0).cast("long").alias("_one"))
     lanes = sum(1 << (_WIDTH * i) for i in range(3))
     sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(F.lit(lanes))).alias(f"_s{j}") for j in range(_LANES)]
