@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import language, minhash, mixing, pieces, pii
-from streamloom.llm.queries import TOKENIZERS
+from streamloom.llm.queries import PIECES
 from streamloom.session import stage, table
 
 #: Documents whose best language has a smaller share than this are rejected.
@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document."""
-    return pieces.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=("lang", "source"))
+    return pieces.encode(docs, PIECES, keep=("lang", "source"))
 
 
 STAGES = [

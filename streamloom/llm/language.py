@@ -3,7 +3,9 @@
 Each learned language gives every trigram (hashed to 2**16 slots) a smoothed likelihood. A
 document's language proportions are those that make its trigrams most likely; the set of its
 languages is the one with the best likelihood less 0.5 * ln(trigrams) for each language, sought
-among the sets of the m languages with the largest proportions, for every m.
+among the single languages and, for every m from 2 on, the set of the m languages with the largest
+proportions. Expectation-maximisation goes on until the likelihood is within TOLERANCE of the best
+one, which its own gradient bounds; the same bound tells which documents need no larger sets.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from streamloom.session import ready
 
 SLOTS = 1 << 16
-ROUNDS = 8
+#: Rounds of expectation-maximisation between two looks at the bound, and at most.
+ROUNDS, MOST_ROUNDS = 8, 400
+#: Log likelihood by which the proportions of sets that are compared may fall short.
+TOLERANCE = 0.01
 SMOOTHING = 0.1
 #: Code points of text in one block of documents.
 BLOCK = 1 << 19
@@ -110,39 +115,59 @@ def mixtures(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.searchsorted(owner, np.arange(len(docs)))
     n = totals[docs].astype(np.float32)
 
-    def climb(like, counts, owner, starts, n, mask):
-        pi = mask / mask.sum(axis=1, keepdims=True)
+    def climb(like, counts, owner, starts, n, mask, pi):
+        """(proportions, log likelihood, bound on the best log likelihood) after ROUNDS rounds from pi."""
         for _ in range(ROUNDS):
             w = like * pi[owner]
             s = w.sum(axis=1)
             w *= (counts / s)[:, None]
             pi = np.add.reduceat(w, starts) / n[:, None]
         s = np.maximum((like * pi[owner]).sum(axis=1), 1e-30)
-        return pi, np.add.reduceat(counts * np.log(s), starts)
-
-    full, best_full = climb(like, counts, owner, starts, n, np.ones((len(docs), k), np.float32))
-    order = np.argsort(-full, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
+        value = np.add.reduceat(counts * np.log(s), starts)
+        slope = np.add.reduceat(like * (counts / s)[:, None], starts)  # the likelihood is concave: this bounds what is left to gain
+        return pi, value, value + np.maximum((slope * mask).max(axis=1) - n, 0)
+
+    def settle(which, mask):
+        """climb of the documents `which`, gone on with for those that are not within TOLERANCE."""
+        pi, value, most = mask / mask.sum(axis=1, keepdims=True), np.zeros(len(which)), np.zeros(len(which))
+        left = np.arange(len(which))
+        for _ in range(MOST_ROUNDS // ROUNDS):
+            rows = np.isin(owner, which[left])
+            mine = np.searchsorted(which[left], owner[rows])
+            pi[left], value[left], most[left] = climb(exact[rows], counts[rows], mine, np.searchsorted(mine, np.arange(len(left))), n[which[left]], mask[left], pi[left])
+            left = left[most[left] - value[left] > TOLERANCE]
+            if not len(left):
+                break
+        return pi, value
+
+    every = np.ones((len(docs), k), np.float32)
+    _, _, best_full = climb(like, counts, owner, starts, n, every, every / k)
+    alone = np.add.reduceat(counts[:, None] * np.log(like), starts)
     price = 0.5 * np.log(np.maximum(n, 2))
-    one = np.add.reduceat(counts * np.log(like[np.arange(len(owner)), order[owner, 0]]), starts)
-    worth, size = one - price, np.ones(len(docs), np.int64)
-    result = (rank < 1).astype(np.float32)
+    one = alone.max(axis=1)
+    worth = (one - price).astype(np.float64)
+    result = np.eye(k)[alone.argmax(axis=1)]
+    kept = result > 0
     # A larger set costs at least one price more and gains at most what all languages gain.
     open_docs = np.flatnonzero(best_full - one > price)
+    if len(open_docs):
+        exact, counts, n = like.astype(np.float64), counts.astype(np.float64), n.astype(np.float64)
+        full, best = settle(open_docs, np.ones((len(open_docs), k)))
+        ranks, most = np.full((len(docs), k), k), np.zeros(len(docs))
+        ranks[open_docs] = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+        most[open_docs] = best + TOLERANCE
     for m in range(2, k + 1):
+        open_docs = open_docs[most[open_docs] - m * price[open_docs] > worth[open_docs]] if len(open_docs) else open_docs
         if not len(open_docs):
             break
-        rows = np.isin(owner, open_docs)
-        mine = np.searchsorted(open_docs, owner[rows])
-        mask = (rank[open_docs] < m).astype(np.float32)
-        pi, value = climb(like[rows], counts[rows], mine, np.searchsorted(mine, np.arange(len(open_docs))), n[open_docs], mask)
+        mask = (ranks[open_docs] < m).astype(np.float64)
+        pi, value = settle(open_docs, mask)
         value = value - m * price[open_docs]
         better = value > worth[open_docs]
         up = open_docs[better]
-        worth[up], size[up], result[up] = value[better], m, pi[better]
-        open_docs = open_docs[best_full[open_docs] - (m + 1) * price[open_docs] > worth[open_docs]]
+        worth[up], result[up], kept[up] = value[better], pi[better], mask[better] > 0
     proportions[docs] = result
-    chosen[docs] = rank < size[:, None]
+    chosen[docs] = kept
     return proportions, chosen, totals
 
 

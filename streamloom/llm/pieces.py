@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from streamloom.session import ready
 
 MARK = "▁"
-#: Chunks that a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+#: Chunks that a worker remembers, and the code points that each may have; then it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 #: Bytes up to which chunks are segmented side by side; longer ones go one by one.
 SIDE_BY_SIDE = 256
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
@@ -275,6 +275,9 @@ class Encoder:
             ids = np.fromiter(chain.from_iterable(map(self.known.__getitem__, chunks)), np.int32)
             flat.append(ids)
             ends.append(ends[-1] + len(ids))
+        for chunk in fresh:
+            if len(chunk) > REMEMBERED_CHARS:
+                del self.known[chunk]
         return np.concatenate(flat) if flat else np.empty(0, np.int32), np.array(ends, np.int64)
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import ann, language, mixing, minhash, pieces, pii, simhash, tokens, toolcalls, warc
 from streamloom.session import ready, table
 
-#: Where the public tokenizer files are, unless the environment names another folder.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The files of the public tokenizers that the queries use.
+PIECES, BYTE_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by the default weights takes of each document, with its source's size and target."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
@@ -22,6 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     found = language.identify(docs.withColumn("held_out", held_out), ~F.col("held_out"))
@@ -29,14 +30,17 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    """The pieces of each document's whole text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over four-word shingles at a similarity of 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and near ones of every twentieth id."""
     return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
@@ -65,20 +69,24 @@ def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: counts and digest of the fixed patterns, and all spans."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "utf-8"), 256).alias("base_sha256"), "spans")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, written to archives and read back."""
     written = warc.write_records(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_records(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", limit=512)
+    """Token counts of each document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=512)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 

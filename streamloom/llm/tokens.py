@@ -14,19 +14,18 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.session import ready
 
-#: Merged pre-tokens that a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+#: Merged pre-tokens that a worker remembers, and the code points that each may have; then it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 #: Symbols up to which scanning for the lowest rank is cheaper than a heap.
 SHORT = 48
 #: Code points up to which a text is cut into pre-tokens at once; longer ones are streamed.
 AT_ONCE = 1 << 20
-#: The byte-level pre-tokenizer's pattern (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> list[str]:
@@ -126,7 +125,7 @@ class Counter(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.merger.merge(self.merger.letters_of(piece)))
-        if len(self) < self.base + REMEMBERED:
+        if len(self) < self.base + REMEMBERED and len(piece) <= REMEMBERED_CHARS:
             self[piece] = n
         return n
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from streamloom.llm import ann, language, minhash, mixing, pieces, pii, simhash, tokens, toolcalls, warc
 from streamloom.llm.components import connected_components
-from streamloom.llm.queries import TOKENIZERS
+from streamloom.llm.queries import BYTE_BPE, PIECES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, u int, rep string, k int"
 
@@ -81,7 +81,7 @@ def test_language(spark):
 
 
 def test_token_counts(spark):
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    path = BYTE_BPE
     library = Tokenizer.from_file(path)
     rnd = random.Random(5)
     alphabet = [*"ab 's\t\n\x1c\x85\xa0é日😀1Ⅷ$_", "<|endoftext|>", "'ll", "  "]
@@ -93,7 +93,7 @@ def test_token_counts(spark):
 
 
 def test_pieces(spark):
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = PIECES
     model = pieces.load(path)
     score = {t: model.score[i] for i, t in enumerate(model.text) if i > 258}
 
