@@ -71,7 +71,7 @@ def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of each document: counts and digest of the fixed patterns, and all spans."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "utf-8"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.encode("base_spans", "utf-8"), 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
