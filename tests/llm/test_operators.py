@@ -237,7 +237,7 @@ def test_neighbours(spark):
     x[100:400] = x[100]
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(2000, None, "x"), (2001, [0.0] * 16, "x"), (2002, [float("nan")] * 16, "x"), (2003, [1.0], "x"), (None, [1.0] * 16, "x")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string")
-    got = ann.search(table, table.where("vec_id % 100 = 0"), centroids=16, least=300).collect()
+    got = ann.search(table, table.where("vec_id % 100 = 0"), centroids=16).collect()
     hits = 0
     for q in range(0, 900, 100):
         score = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
