@@ -1,37 +1,30 @@
-"""Numbering, looking back and summing over a global order without a single-partition window.
+"""A global order without a single-partition window.
 
-Rows are dealt out by range and sorted inside partitions; what crosses partitions is one row for
-each. The dealt rows are written to the shared folder, which pins the boundaries.
+Rows are dealt out by range, sorted inside partitions and written to the shared folder, one file
+for each partition. That pins the boundaries; what crosses partitions is one row for each, and a
+row's number is its place in its file, which the Parquet reader knows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.session import stage
+from streamloom.session import partitions_for, stage
 
 
 def dealt(df: DataFrame, *order: str) -> DataFrame:
-    """df with _pid added, rising along the order; equal keys share a partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "ordered")
-
-
-def running_sum(rows: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
-    """dealt rows with the sum of value over all rows up to each one."""
-    rows = rows.withColumn("_v", value)
-    totals = rows.groupBy("_pid").agg(F.sum("_v").alias("_t"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(offsets, "_pid").withColumn(name, F.sum("_v").over(inside) + F.col("_o")).drop("_v", "_o")
-
-
-def previous(rows: DataFrame, column: str, name: str, *order: str) -> DataFrame:
-    """dealt rows with the column's value in the row before; null in the first. The column must not be null."""
-    tails = rows.groupBy("_pid").agg(F.max_by(column, F.struct(*order)).alias("_x"))
-    before = Window.orderBy("_pid")
-    tails = tails.select("_pid", F.lag("_x").over(before).alias("_x"))
-    inside = Window.partitionBy("_pid").orderBy(*order)
-    return rows.join(tails, "_pid").withColumn(name, F.coalesce(F.lag(column).over(inside), F.col("_x"))).drop("_x")
+    """df with _pid added, rising along the order; equal keys share a partition, written in order."""
+    parts = partitions_for(df)
+    return stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()), "ordered")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "_n") -> DataFrame:
+    """df with each row's number in the order: 1, 2, ... (ties in any order)."""
+    rows = dealt(df, *order)
+    counts = rows.groupBy("_pid").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One row for each partition, whatever the number of rows.
+    found = rows.withColumn("_row", F.col("_metadata.row_index")).join(F.broadcast(offsets), "_pid")
+    return found.withColumn(name, (F.col("_row") + F.col("_before") + 1).cast("bigint")).drop("_pid", "_row", "_before")

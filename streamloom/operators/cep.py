@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from streamloom.streaming.live import live_scan
 from streamloom.streaming.scan import sorted_scan
 
 STRICT, RELAXED, ANY = "strict", "relaxed", "non_deterministic_relaxed"
@@ -115,22 +117,43 @@ def advance(partials: list[tuple], ts: int, event, flags: str, stops: str, patte
     return after, found
 
 
+def _chain(rows: DataFrame, names: list[str], within: int, key_by: str | None) -> DataFrame:
+    """Matches of single elements that follow each other at once, by looking ahead instead of an automaton."""
+    w = Window.partitionBy(*(["key"] if key_by else [])).orderBy("ts", "seq")
+    n = len(names)
+    ahead = {i: (F.lead("flags", i).over(w), F.lead("ts", i).over(w), F.lead("seq", i).over(w)) for i in range(1, n)}
+    flat = rows.select("*", *[c.alias(f"_{k}{i}") for i, found in ahead.items() for k, c in zip(("f", "t", "s"), found, strict=True)])
+    hit = F.substring("flags", 1, 1) == "1"
+    for i in range(1, n):
+        hit = hit & (F.substring(f"_f{i}", i + 1, 1) == "1")
+    last = F.col(f"_t{n - 1}") if n > 1 else F.col("ts")
+    return flat.where(hit & (last - F.col("ts") <= within)).select(
+        "key", F.col("ts").alias("first_ts"), last.alias("ts"), F.array(*map(F.lit, names)).alias("names"), F.array("seq", *[f"_s{i}" for i in range(1, n)]).alias("events")
+    )
+
+
 def cep(df: DataFrame, patterns: list[Pattern], within: int, ts: str = "ts", seq: str = "seq", key_by: str | None = None) -> DataFrame:
     """(key, first_ts, ts, names, events) of every match; events are seq numbers, names beside them.
 
     A match's last row is at most `within` ms after its first. Conditions are evaluated as columns
-    before the ordered pass. ts and seq are long; the key is a long too, or null without key_by.
+    before the ordered pass; null ones are false. ts and seq are long; rows without a ts take no
+    part. The key has its own type, null keys are one key, and without key_by it is null (long).
+    Chains of single strict elements over stored rows need no ordered pass. Live streams keep
+    partial matches in the state store.
     """
     if len({p.name for p in patterns}) != len(patterns) or not patterns:
         raise ValueError("patterns need names of their own")
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), F.lit("1")).otherwise(F.lit("0"))
-    rows = df.select(
-        (F.col(key_by) if key_by else F.lit(None)).cast("long").alias("key"),
+    rows = df.where(F.col(ts).isNotNull()).select(
+        (F.col(key_by) if key_by else F.lit(None).cast("long")).alias("key"),
         F.col(ts).cast("long").alias("ts"),
         F.col(seq).cast("long").alias("seq"),
         F.concat(F.lit(""), *[flag(p.condition) for p in patterns]).alias("flags"),
         F.concat(F.lit(""), *[flag(p.stop) if p.stop is not None else F.lit("0") for p in patterns]).alias("stops"),
     )
+    alone = all(not p.counted and not p.is_optional and p.least == p.most == 1 for p in patterns)
+    if alone and all(p.contiguity == STRICT for p in patterns[1:]) and not df.isStreaming:
+        return _chain(rows, [p.name for p in patterns], within, key_by)
     told = [(p.name, p.contiguity, p.least, p.most, p.is_optional, p.inner or RELAXED) for p in patterns]
 
     def step(partials, row):
@@ -138,4 +161,6 @@ def cep(df: DataFrame, patterns: list[Pattern], within: int, ts: str = "ts", seq
         out = [(row["key"], events[0][1][1], row["ts"], [n for n, _ in events], [e[0] for _, e in events]) for events in found]
         return partials, out
 
-    return sorted_scan(rows, "key" if key_by else None, ["ts", "seq"], "key long,first_ts long,ts long,names array<string>,events array<long>", list, step)
+    schema = StructType([rows.schema["key"], *StructType.fromDDL("first_ts long, ts long, names array<string>, events array<long>").fields])
+    scan = live_scan if df.isStreaming else sorted_scan
+    return scan(rows, "key" if key_by else None, ["ts", "seq"], schema, list, step)

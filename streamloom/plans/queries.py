@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from streamloom.functions.predicates import all_of, any_of, compare
 from streamloom.functions.text import parse_delimited
@@ -32,14 +33,21 @@ def query(sql: str):
     return add
 
 
+def epoch_ms(df: DataFrame, column: str = "ts") -> Column:
+    """Milliseconds since 1970 of a time, whatever zone the session has."""
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        day, rest = f"unix_date(cast({column} as date)) * 86400000L", f"(hour({column}) * 3600 + minute({column}) * 60) * 1000L + cast(floor(extract(second from {column}) * 1000) as bigint)"
+        return F.expr(f"{day} + {rest}")
+    return F.expr(f"unix_millis({column})")
+
+
 def events(spark: SparkSession, sf_dir: str) -> Stream:
-    """Events as (ts ms, seq, user_id, event_type, cents); times are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Events as (ts ms, seq, user_id, event_type, cents); times without a zone are read as UTC."""
     ready(spark)
     df = table(spark, sf_dir, "events")
     return Stream(
         df.select(
-            F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ts"),
+            epoch_ms(df).alias("ts"),
             F.col("event_id").alias("seq"),
             "user_id",
             "event_type",
@@ -102,6 +110,8 @@ def apply_stateful_max(spark, sf_dir) -> DataFrame:
 class _Spread:
     """Difference of the largest and smallest amounts so far."""
 
+    columns = ("cents",)
+
     def initialize(self):
         return None
 
@@ -131,7 +141,7 @@ def _windows(point: str, first: str, last: str, size: int, interval: int, closed
 
 
 def _counted(s, spec) -> DataFrame:
-    return s.window(spec).aggregate_window(F.count("*").alias("n_rows"), F.sum("cents").alias("cents"))
+    return s.window(spec).summarise(n_rows="count", cents=("sum", "cents"))
 
 
 _SUMS = " SELECT win_start, win_end, count(*) AS n_rows, sum(cents)::BIGINT AS cents FROM x GROUP BY 1, 2"
@@ -179,12 +189,12 @@ def _session_sql(key: str) -> str:
 
 @query(_session_sql("user_id"))
 def session_window_user(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).window(SessionWindow(_GAP), key_by="user_id").aggregate_window(F.count("*").alias("n_rows"), keys=("user_id",))
+    return events(spark, sf_dir).window(SessionWindow(_GAP), key_by="user_id").summarise(n_rows="count")
 
 
 @query(_session_sql("").replace(str(_GAP), str(_GAP // 36)))
 def session_window_global(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).window(SessionWindow(_GAP // 36)).aggregate_window(F.count("*").alias("n_rows"))
+    return events(spark, sf_dir).window(SessionWindow(_GAP // 36)).summarise(n_rows="count")
 
 
 @query(
@@ -265,7 +275,7 @@ def cep_ndr_pair(spark, sf_dir) -> DataFrame:
     return _pairs(spark, sf_dir, ANY)
 
 
-@query("SELECT a.event_id AS a, min_by(b.event_id, b.ms * 1000000000 + b.event_id) AS b FROM e a JOIN e b ON a.user_id = b.user_id AND (b.ms, b.event_id) > (a.ms, a.event_id) AND b.ms - a.ms <= 86400000 WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY a.event_id".replace("b.ms * 1000000000 + b.event_id", "b.event_id"))
+@query("SELECT a.event_id AS a, min_by(b.event_id, (b.ms, b.event_id)) AS b FROM e a JOIN e b ON a.user_id = b.user_id AND (b.ms, b.event_id) > (a.ms, a.event_id) AND b.ms - a.ms <= 86400000 WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY a.event_id")
 def cep_relaxed_pair(spark, sf_dir) -> DataFrame:
     return _pairs(spark, sf_dir, RELAXED)
 

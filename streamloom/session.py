@@ -12,21 +12,41 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _own_dirs: dict[str, str] = {}
 
 
+#: Bounds on batches, set where nobody set others.
+_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and bound the rows of Arrow and Parquet batches.
 
     Long texts make row counts a poor measure of memory, so Arrow batches are kept to 1,000 rows
-    and 16 MB, and the vectors that Parquet columns are read into to 256 rows.
+    and 16 MB, and the vectors that Parquet columns are read into to 256 rows. Bounds that the
+    session was given otherwise stay as they are.
     """
     environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, environment.get("PYTHONPATH")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    for name, bound in _BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, bound)
     return spark
 
 
+def partitions_for(df: DataFrame, size: int = 128 << 20) -> int:
+    """Partitions of about `size` bytes by the sizes of what df reads, and no fewer than the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        estimate = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    except AttributeError:  # a session without a JVM of its own
+        return least
+    return max(least, min(estimate // size + 1, 100_000))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set.
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from streamloom.session import ready
-from streamloom.streaming.scan import sorted_scan
+from streamloom.streaming.live import live_scan
+from streamloom.streaming.scan import column_scan
 
 
 class StatefulFunction(Protocol):
-    """State made by initialize, changed by update for each row, turned into a result by produce."""
+    """State made by initialize, changed by update for each row, turned into a result by produce.
+
+    A function that has an attribute `columns` sees only those columns in its rows.
+    """
 
     def initialize(self): ...
 
@@ -25,34 +25,35 @@ class StatefulFunction(Protocol):
 
 
 def apply_stateful(df: DataFrame, function: StatefulFunction, result_type: str, ts: str = "ts", seq: str = "seq", key_by: str | None = None) -> DataFrame:
-    """df with the function's result after each row, in order within each key."""
-    columns = df.columns
+    """df with the function's result after each row as `result`, in order within each key.
 
-    def step(state, row):
-        state = function.update(state, row)
-        return state, [(*(row[c] for c in columns), function.produce(state))]
+    A column of df named result is replaced. Live streams keep their state in the state store; rows
+    of a micro-batch are put in order, and across micro-batches arrival decides.
+    """
+    inputs = list(getattr(function, "columns", None) or df.columns)
+    (result,) = StructType.fromDDL(f"result {result_type}").fields
+    if df.isStreaming:
+        kept = [c for c in df.columns if c != "result"]
+
+        def live_step(state, row):
+            state = function.update(state, {c: row[c] for c in inputs})
+            return state, [(*(row[c] for c in kept), function.produce(state))]
 
-    schema = StructType.fromDDL(f"result {result_type}")
-    return sorted_scan(df, key_by, [ts, seq], StructType([*df.schema.fields, *schema.fields]), function.initialize, step)
+        return live_scan(df, key_by, [ts, seq], StructType([*(df.schema[c] for c in kept), result]), function.initialize, live_step)
+
+    def step(state, *values):
+        state = function.update(state, dict(zip(inputs, values, strict=True)))
+        return state, function.produce(state), True
+
+    return column_scan(df, key_by, [ts, seq], inputs, StructField("result", result.dataType), function.initialize, step)
 
 
 def apply_stateful_streaming(df: DataFrame, function: StatefulFunction, result_type: str, key_by: str, order: list[str]) -> DataFrame:
-    """The streaming twin: (key, result) for each row; state lives in the state store.
+    """(key, result) for each row of a live stream; state lives in the state store."""
+    schema = StructType([StructField("key", df.schema[key_by].dataType), *StructType.fromDDL(f"result {result_type}").fields])
 
-    Rows of a micro-batch are put in order; across micro-batches arrival decides.
-    """
-    ready(df.sparkSession)
-    key_type = df.schema[key_by].dataType.simpleString()
-    columns = df.columns
-
-    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value = pickle.loads(state.get[0]) if state.exists else function.initialize()
-        rows = pd.concat(list(parts)).sort_values(order)
-        out = []
-        for values in rows.itertuples(index=False, name=None):
-            value = function.update(value, dict(zip(columns, values, strict=True)))
-            out.append(function.produce(value))
-        state.update((pickle.dumps(value),))
-        yield pd.DataFrame({"key": [key[0]] * len(out), "result": out})
-
-    return df.groupBy(key_by).applyInPandasWithState(run, f"key {key_type}, result {result_type}", "state binary", "append", "NoTimeout")
+    def step(state, row):
+        state = function.update(state, row)
+        return state, [(row[key_by], function.produce(state))]
+
+    return live_scan(df, key_by, order, schema, function.initialize, step)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.functions.ordered import dealt
+from streamloom.streaming.live import live_punctuated
 
 
 def periodic(df: DataFrame, event_time: str, expected_delay_ms: int = 0) -> DataFrame:
@@ -19,11 +20,14 @@ def punctuated(df: DataFrame, is_watermark: Column, watermark_ts: Column, ts: st
     """The rows that aren't late, without the punctuation rows, watermark so far as `watermark`.
 
     Rows come in order of seq. A punctuation row sets the watermark to its time if that is later,
-    and is consumed; a row is late if its ts is at most the watermark before it.
+    and is consumed; a row is late if its ts is at most the watermark before it, or null. A column
+    of df named watermark is replaced. Live streams keep the watermark in the state store, and take
+    rows of a micro-batch in order of seq.
     """
-    from pyspark.sql import Window
-
-    rows = df.withColumn("_wm", F.when(is_watermark, watermark_ts)).withColumn("_is", F.coalesce(is_watermark, F.lit(False)))
+    rows = df.withColumn("_wm", F.when(is_watermark, watermark_ts).cast("long")).withColumn("_is", F.coalesce(is_watermark, F.lit(False)))
+    if df.isStreaming:
+        return live_punctuated(rows, "_is", "_wm", ts, seq, key_by)
+    rows = rows.drop("watermark")
     if key_by:
         before = Window.partitionBy(key_by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
         marked = rows.withColumn("watermark", F.max("_wm").over(before))
@@ -32,6 +36,7 @@ def punctuated(df: DataFrame, is_watermark: Column, watermark_ts: Column, ts: st
         tops = rows.groupBy("_pid").agg(F.max("_wm").alias("_top"))
         tops = tops.select("_pid", F.max("_top").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
         inside = Window.partitionBy("_pid").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-        marked = rows.join(tops, "_pid").withColumn("watermark", F.greatest(F.max("_wm").over(inside), "_o")).drop("_pid", "_o")
-    kept = marked.where(~F.col("_is") & (F.col("watermark").isNull() | (F.col(ts) > F.col("watermark"))))
+        # One row for each partition of the dealt rows.
+        marked = rows.join(F.broadcast(tops), "_pid").withColumn("watermark", F.greatest(F.max("_wm").over(inside), "_o")).drop("_pid", "_o")
+    kept = marked.where(~F.col("_is") & F.col(ts).isNotNull() & (F.col("watermark").isNull() | (F.col(ts) > F.col("watermark"))))
     return kept.drop("_wm", "_is")
