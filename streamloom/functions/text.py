@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,15 @@ def parse_delimited(df: DataFrame, column: str, fields: list[tuple[str, str]], s
     return split.withColumns({name: F.trim(F.col("_parts")[i]).cast(_TYPES[kind]) for i, (name, kind) in enumerate(fields)}).drop("_parts")
 
 
-def template(parts: list[str], fields: list[str], separator: str = "") -> Column:
-    """The parts joined by the separator, each $field replaced by its value, longest names first."""
-    out = F.lit(separator.join(parts))
-    for name in sorted(fields, key=len, reverse=True):
-        out = F.replace(out, F.lit(f"${name}"), F.coalesce(F.col(name).cast("string"), F.lit("null")))
-    return out
+def template(parts: list[str], fields: list[str], separator: str = "", values: dict[str, Column] | None = None) -> Column:
+    """The parts joined by the separator, each $name replaced by its value, longest names first.
+
+    Names are fields of the rows, and those of values, which gives a column for each. Null values
+    are written null. Values are taken as they are: a $name in one is not replaced.
+    """
+    known = {n: F.col(n) for n in fields} | (values or {})
+    names = "|".join(re.escape(n) for n in sorted(known, key=len, reverse=True))
+    text = separator.join(parts)
+    pieces = re.split(rf"\$({names})", text) if names else [text]
+    out = [F.lit(p) if i % 2 == 0 else F.coalesce(known[p].cast("string"), F.lit("null")) for i, p in enumerate(pieces) if p]
+    return F.concat(F.lit(""), *out)

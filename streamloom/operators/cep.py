@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from streamloom.streaming.live import live_scan
 from streamloom.streaming.scan import sorted_scan
@@ -117,29 +117,30 @@ def advance(partials: list[tuple], ts: int, event, flags: str, stops: str, patte
     return after, found
 
 
-def _chain(rows: DataFrame, names: list[str], within: int, key_by: str | None) -> DataFrame:
+def _chain(rows: DataFrame, names: list[str], within: int, key_by: str | None, carry: bool) -> DataFrame:
     """Matches of single elements that follow each other at once, by looking ahead instead of an automaton."""
     w = Window.partitionBy(*(["key"] if key_by else [])).orderBy("ts", "seq")
-    n = len(names)
-    ahead = {i: (F.lead("flags", i).over(w), F.lead("ts", i).over(w), F.lead("seq", i).over(w)) for i in range(1, n)}
-    flat = rows.select("*", *[c.alias(f"_{k}{i}") for i, found in ahead.items() for k, c in zip(("f", "t", "s"), found, strict=True)])
+    n, kept = len(names), ["flags", "ts", "seq", *(["row"] if carry else [])]
+    flat = rows.select("*", *[F.lead(c, i).over(w).alias(f"_{c}{i}") for i in range(1, n) for c in kept])
     hit = F.substring("flags", 1, 1) == "1"
     for i in range(1, n):
-        hit = hit & (F.substring(f"_f{i}", i + 1, 1) == "1")
-    last = F.col(f"_t{n - 1}") if n > 1 else F.col("ts")
+        hit = hit & (F.substring(f"_flags{i}", i + 1, 1) == "1")
+    last = F.col(f"_ts{n - 1}") if n > 1 else F.col("ts")
+    every = lambda c: F.array(c, *[f"_{c}{i}" for i in range(1, n)])
     return flat.where(hit & (last - F.col("ts") <= within)).select(
-        "key", F.col("ts").alias("first_ts"), last.alias("ts"), F.array(*map(F.lit, names)).alias("names"), F.array("seq", *[f"_s{i}" for i in range(1, n)]).alias("events")
+        "key", F.col("ts").alias("first_ts"), last.alias("ts"), F.array(*map(F.lit, names)).alias("names"), every("seq").alias("events"), *([every("row").alias("rows")] if carry else [])
     )
 
 
-def cep(df: DataFrame, patterns: list[Pattern], within: int, ts: str = "ts", seq: str = "seq", key_by: str | None = None) -> DataFrame:
+def cep(df: DataFrame, patterns: list[Pattern], within: int, ts: str = "ts", seq: str = "seq", key_by: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, first_ts, ts, names, events) of every match; events are seq numbers, names beside them.
 
-    A match's last row is at most `within` ms after its first. Conditions are evaluated as columns
-    before the ordered pass; null ones are false. ts and seq are long; rows without a ts take no
-    part. The key has its own type, null keys are one key, and without key_by it is null (long).
-    Chains of single strict elements over stored rows need no ordered pass. Live streams keep
-    partial matches in the state store.
+    A match's last row is at most `within` ms after its first. With carry there are also `rows`,
+    structs of those columns beside the events. Conditions are evaluated as columns before the
+    ordered pass; null ones are false. ts and seq are long; rows without a ts take no part. The key
+    has its own type, null keys are one key, and without key_by it is null (long). Chains of single
+    strict elements over stored rows need no ordered pass. Live streams keep partial matches in the
+    state store.
     """
     if len({p.name for p in patterns}) != len(patterns) or not patterns:
         raise ValueError("patterns need names of their own")
@@ -150,17 +151,30 @@ def cep(df: DataFrame, patterns: list[Pattern], within: int, ts: str = "ts", seq
         F.col(seq).cast("long").alias("seq"),
         F.concat(F.lit(""), *[flag(p.condition) for p in patterns]).alias("flags"),
         F.concat(F.lit(""), *[flag(p.stop) if p.stop is not None else F.lit("0") for p in patterns]).alias("stops"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
     alone = all(not p.counted and not p.is_optional and p.least == p.most == 1 for p in patterns)
     if alone and all(p.contiguity == STRICT for p in patterns[1:]) and not df.isStreaming:
-        return _chain(rows, [p.name for p in patterns], within, key_by)
+        return _chain(rows, [p.name for p in patterns], within, key_by, bool(carry))
     told = [(p.name, p.contiguity, p.least, p.most, p.is_optional, p.inner or RELAXED) for p in patterns]
+    make = Row(*carry)
 
     def step(partials, row):
-        partials, found = advance(partials, row["ts"], (row["seq"], row["ts"]), row["flags"], row["stops"], told, within)
-        out = [(row["key"], events[0][1][1], row["ts"], [n for n, _ in events], [e[0] for _, e in events]) for events in found]
+        event = (row["seq"], row["ts"], make(*(row["row"][c] for c in carry)) if carry else None)
+        partials, found = advance(partials, row["ts"], event, row["flags"], row["stops"], told, within)
+        out = []
+        for events in found:
+            more = [[e[2] if live else e[2].asDict() for _, e in events]] if carry else []
+            out.append((row["key"], events[0][1][1], row["ts"], [n for n, _ in events], [e[0] for _, e in events], *more))
         return partials, out
 
-    schema = StructType([rows.schema["key"], *StructType.fromDDL("first_ts long, ts long, names array<string>, events array<long>").fields])
-    scan = live_scan if df.isStreaming else sorted_scan
-    return scan(rows, "key" if key_by else None, ["ts", "seq"], schema, list, step)
+    live = df.isStreaming
+    fields = StructType.fromDDL("first_ts long, ts long, names array<string>, events array<long>").fields
+    schema = StructType([rows.schema["key"], *fields, *([StructField("rows", ArrayType(rows.schema["row"].dataType))] if carry else [])])
+    return (live_scan if live else sorted_scan)(rows, "key" if key_by else None, ["ts", "seq"], schema, list, step)
+
+
+def by_name(matches: DataFrame, column: str = "events") -> DataFrame:
+    """matches with `match`, a map from each pattern's name to its events (or rows) in order."""
+    of = F.expr(f"map_from_entries(transform(array_distinct(names), n -> struct(n, filter({column}, (x, i) -> names[i] = n))))")
+    return matches.withColumn("match", of)

@@ -229,8 +229,8 @@ class Stream:
     def state_transition(self, initial: str, finals: set[str], table: dict, key_by: str | None = None) -> DataFrame:
         return _fsm.state_transition(self.df, initial, finals, table, self.ts, self.seq, key_by)
 
-    def cep(self, patterns: list[_cep.Pattern], within: int, key_by: str | None = None) -> DataFrame:
-        return _cep.cep(self.df, patterns, within, self.ts, self.seq, key_by)
+    def cep(self, patterns: list[_cep.Pattern], within: int, key_by: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+        return _cep.cep(self.df, patterns, within, self.ts, self.seq, key_by, carry)
 
 
 class _Windows:

@@ -14,16 +14,23 @@ def socket_text(spark: SparkSession, source: SocketSource) -> DataFrame:
     return spark.readStream.format("socket").option("host", source.host).option("port", source.port).option("includeTimestamp", True).load()
 
 
+def kafka_options(source: KafkaSource) -> dict[str, str]:
+    """The reader's options for a source; the checkpoint keeps offsets, so commits are left out."""
+    own = ("auto.offset.reset", "enable.auto.commit", "auto.commit.interval.ms", "key.deserializer", "value.deserializer")
+    out = {"subscribe": source.topic, "startingOffsets": source.consumer.get("auto.offset.reset", "latest")}
+    return out | {f"kafka.{k}": str(v) for k, v in source.consumer.items() if k not in own}
+
+
 def kafka(spark: SparkSession, source: KafkaSource) -> DataFrame:
     """key, value, topic, partition, offset and timestamp of all partitions of the topic.
 
     Needs Spark's Kafka connector on the class path; raises where it is missing.
     """
-    reader = spark.readStream.format("kafka").option("subscribe", source.topic).option("kafka.bootstrap.servers", source.consumer["bootstrap.servers"])
-    for key, value in source.consumer.items():
-        if key not in ("bootstrap.servers", "auto.offset.reset", "enable.auto.commit", "group.id"):
-            reader = reader.option(f"kafka.{key}", value)
-    return reader.option("startingOffsets", source.consumer.get("auto.offset.reset", "latest")).load()
+    reader = spark.readStream.format("kafka")
+    for key, value in kafka_options(source).items():
+        reader = reader.option(key, value)
+    df = reader.load()
+    return df.withColumns({side: F.col(side).cast(source.deserializer(side)) for side in ("key", "value")})
 
 
 def mqtt(spark: SparkSession, source: MqttSource) -> DataFrame:
@@ -39,6 +46,20 @@ def stored(spark: SparkSession, path: str, schema: StructType | str, kind: str =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(path)
 
 
+def events(spark: SparkSession, source: SocketSource | KafkaSource | MqttSource) -> DataFrame:
+    """(value string, ts ms, seq) of any source: ts by its timestamp function, or the clock; seq is the clock's microsecond."""
+    if isinstance(source, SocketSource):
+        df = socket_text(spark, source)
+    elif isinstance(source, KafkaSource):
+        df = kafka(spark, source)
+    else:
+        df = mqtt(spark, source).withColumn("value", F.col("payload"))
+    value = F.col("value").cast("string")
+    clock = F.col("timestamp") if "timestamp" in df.columns else F.current_timestamp()
+    ts = source.timestamp(value) if source.timestamp else F.unix_millis(clock)
+    return df.select(value.alias("value"), ts.cast("long").alias("ts"), F.unix_micros(clock).alias("seq"))
+
+
 def with_event_time(df: DataFrame, ms=None, name: str = "event_time") -> DataFrame:
     """df with an event time from a column of ms, or the clock where there is none."""
     return df.withColumn(name, F.current_timestamp() if ms is None else F.timestamp_millis(ms))

@@ -1,13 +1,20 @@
-"""Sinks: text over TCP and MQTT messages, for batches and micro-batches."""
+"""Sinks: text over TCP and MQTT messages, for batches and micro-batches.
+
+A sink is called with (rows, number of the micro-batch) on the driver, and its `send(texts)` on an
+executor, once for each partition.
+"""
 
 from __future__ import annotations
 
 import socket
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
+from streamloom.session import ready
 from streamloom.sources.mqtt import MqttClient
 
 
@@ -16,41 +23,72 @@ def framed(text: str) -> bytes:
     return (text if "\n" in text else text + "\n").encode()
 
 
-def tcp_text(host: str, port: int, column: str = "value") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that sends the column's texts, one connection for each partition."""
+class _TextSink:
+    column = "value"
+
+    def __call__(self, df: DataFrame, _batch: int = 0) -> None:
+        ready(df.sparkSession)
+        send = self.send
+        df.where(df[self.column].isNotNull()).select(self.column).foreachPartition(lambda rows: send(str(r[0]) for r in rows))
+
+
+@dataclass(frozen=True)
+class tcp_text(_TextSink):  # noqa: N801 -- called like a function
+    """Sends the column's texts, one connection for each partition that has any."""
+
+    host: str
+    port: int
+    column: str = "value"
 
-    def send(rows: Iterator) -> None:
-        with socket.create_connection((host, port), 10) as out:
-            for row in rows:
-                out.sendall(framed(row[0]))
+    def send(self, texts: Iterator[str]) -> None:
+        out = None
+        try:
+            for text in texts:
+                out = out or socket.create_connection((self.host, self.port), 10)
+                out.sendall(framed(text))
+        finally:
+            if out:
+                out.close()
 
-    def write(df: DataFrame, _batch: int) -> None:
-        df.where(df[column].isNotNull()).select(column).foreachPartition(send)
 
-    return write
+@dataclass(frozen=True)
+class mqtt(_TextSink):  # noqa: N801
+    """Publishes the column's texts at quality of service 0.
 
+    Every `together` texts, and at the end, it waits for the broker's answer to a ping. On errors it
+    connects anew, a bounded number of times in a row, and sends again what wasn't answered for: the
+    broker reads each text at least once.
+    """
 
-def mqtt(broker: str, topic: str, column: str = "value", tries: int = 5, pause: float = 1.0) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that publishes the column's texts; on errors it connects anew, a
-    bounded number of times. At least once."""
+    broker: str
+    topic: str
+    column: str = "value"
+    tries: int = 5
+    pause: float = 1.0
+    together: int = 64
 
-    def publish(rows: Iterator) -> None:
+    def send(self, texts: Iterator[str]) -> None:
         client = None
-        for row in rows:
-            for left in range(tries, 0, -1):
-                try:
-                    client = client or MqttClient(broker, "streamloom-sink")
-                    client.publish(topic, str(row[0]).encode())
-                    break
-                except OSError:
-                    client = None
-                    if left == 1:
-                        raise
-                    time.sleep(pause)
-        if client:
-            client.close()
-
-    def write(df: DataFrame, _batch: int) -> None:
-        df.where(df[column].isNotNull()).select(column).foreachPartition(publish)
-
-    return write
+        try:
+            while part := list(islice(texts, self.together)):
+                for left in range(self.tries, 0, -1):
+                    try:
+                        client = client or MqttClient(self.broker, "streamloom-sink")
+                        for text in part:
+                            client.publish(self.topic, text.encode())
+                        client.confirm()
+                        break
+                    except OSError:
+                        client = client and client.drop()
+                        if left == 1:
+                            raise
+                        time.sleep(self.pause)
+        finally:
+            if client:
+                client.close()
+
+
+def console(df: DataFrame, number: int = 0) -> None:
+    """Prints the rows of a micro-batch; for trying things out."""
+    print(f"--- batch {number}")
+    df.show(truncate=False)

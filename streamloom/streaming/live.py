@@ -49,7 +49,7 @@ def live_scan(df: DataFrame, key, order: list[str], schema: StructType | str, st
     """The rows that step gives for every row of a live stream, in order within each key; as sorted_scan."""
     ready(df.sparkSession)
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    groups = df.groupBy(*as_keys(key)) if key else df.groupBy(F.lit(0).alias("_all"))
+    groups = df.groupBy(*as_keys(key)) if key else df.withColumn("_all", F.lit(0)).groupBy("_all")
     return groups.transformWithState(_Machine(schema.fieldNames(), order, start, step), schema, "Append", "None")
 
 

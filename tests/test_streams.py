@@ -73,10 +73,10 @@ def test_sessions(spark):
 
 
 def test_join_in_window(spark):
-    left = Stream(spark.createDataFrame([("Hello", 1, 0, 0), ("MIST", 2, 1, 1), ("SNU", 3, 2, 2)], "a string, k int, ts long, seq long"))
+    left = Stream(spark.createDataFrame([("one", 1, 0, 0), ("two", 2, 1, 1), ("three", 3, 2, 2)], "a string, k int, ts long, seq long"))
     right = Stream(spark.createDataFrame([(1, 3000, 3, 3), (1, 4000, 4, 4), (2, 5000, 5, 5)], "k int, v int, ts long, seq long"))
     got = left.join(right, lambda a, b: a("k") == b("k"), TimeWindow(100, 100), flush=True)
-    assert sorted((r.l_a, r.r_v) for r in got.collect()) == [("Hello", 3000), ("Hello", 4000), ("MIST", 5000)]
+    assert sorted((r.l_a, r.r_v) for r in got.collect()) == [("one", 3000), ("one", 4000), ("two", 5000)]
 
 
 def test_reduce_by_key(spark):
