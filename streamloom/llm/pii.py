@@ -88,7 +88,7 @@ MADE, TRAINED, STEPS, BATCH, RATE = 8000, 128, 1000, 48, 0.02
 #: Probability from which on a decoded span is added.
 LEAST = 0.9
 #: Windows decoded side by side.
-SIDE_BY_SIDE = 512
+SIDE_BY_SIDE = 256
 #: Digits that a kind has at least and at most.
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
