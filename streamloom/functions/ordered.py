@@ -16,7 +16,7 @@ from streamloom.session import partitions_for, stage
 def dealt(df: DataFrame, *order: str) -> DataFrame:
     """df with _pid added, rising along the order; equal keys share a partition, written in order."""
     parts = partitions_for(df)
-    return stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()), "ordered")
+    return stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()), "ordered", whole=True)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "_n") -> DataFrame:

@@ -36,9 +36,9 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def partitions_for(df: DataFrame, size: int = 128 << 20) -> int:
-    """Partitions of about `size` bytes by the sizes of what df reads, and no fewer than the session's."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(df: DataFrame, size: int = 128 << 20, least: int | None = None) -> int:
+    """Partitions of about `size` bytes by the sizes of what df reads, and no fewer than least (else the session's)."""
+    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         estimate = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
@@ -65,10 +65,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a result to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, name: str = "stage", whole: bool = False) -> DataFrame:
+    """Write a result to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Small results of many partitions are written as fewer files: four for each core at most, or one
+    for every 64 MB that df reads, if that is more. whole keeps one file for each partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not whole:
+        df = df.coalesce(partitions_for(df, 64 << 20, 4 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
