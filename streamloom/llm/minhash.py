@@ -6,9 +6,10 @@ Two small collections of band hashes are computed per document, A and B, of `ban
 (1 - (1 - s**rows)**bands)**2: 0.9998 at 0.8 for the defaults, rising fast above.
 
 Candidates are confirmed on full shingle sets (64-bit hashes of shingles). No group is expanded
-into pairs: in each table entry every member is compared with the smallest member; where members
-of one leader are then still in different components, those outside the most common one meet the
-rest in blocks, except where their shingles prove that no link can exist.
+into pairs: in each table entry every member is compared with the smallest member. Where an entry
+then still holds several components, and shingles don't prove that no link can join them, those
+outside its commonest component are compared with other members of that one, for a few rounds; only
+those that are left outside then meet the rest in blocks.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from streamloom.session import ready, stage
 
 #: Members compared with a leader within one task group; more members are dealt over more groups.
 FAN = 256
-#: Documents held at once, and streamed past them, where components of one leader meet.
-BLOCK, SLICE = 64, 2048
+#: Shingles of the texts held at once, and of those streamed past them, where components of one leader meet.
+BLOCK, SLICE = 1 << 20, 1 << 20
+#: Rounds in which entries of several components get another leader, before the rest meets one by one.
+ROUNDS = 3
 
 
 @lru_cache(maxsize=8)
@@ -225,7 +228,15 @@ def near_duplicates(
     links = checked.where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
     found = connected_components(links)
 
-    again = stage(_residual(buckets, found, sets, threshold), "again")
+    rows = _open(buckets, found, sets, threshold)
+    for number in range(ROUNDS):
+        mixed = _mixed(rows, found)
+        fresh = stage(_led(mixed, number), "led")
+        if fresh.isEmpty():
+            break
+        more = stage(_verify(fresh, sets), "checked").where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+        found = stage(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    again = stage(_residual(_mixed(rows, found), sets, threshold), "again")
     edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(again)
     joined = connected_components(edges).withColumnRenamed("id", "rep")
     # Each component of contents goes by its least id; an id of several contents joins theirs.
@@ -239,26 +250,15 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _residual(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components among the members of one leader.
+def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, leader, rep, n_shingles) of the members of table entries that a link may join to another component there.
 
-    All that ever met in a table entry share that entry's leader, so that members of one leader
-    cover all candidates. A shingle that only one component has is in no link to another one,
-    which bounds what a document can share outside its own; those that fall short are left out,
-    and the bound is exact. Then all outside a leader's most common component (in blocks, held in
-    memory as one) meet all members (streamed), each block and slice of members in a group of its own.
+    A shingle that only one component has is in no link to another one, which bounds what a text can
+    share outside its own; those that fall short are left out, and the bound is exact. It stays so
+    when components grow.
     """
     low = threshold - 1e-9
-    labelled = (
-        buckets.where("rep != leader")
-        .select("leader", "rep", "n_shingles")
-        .distinct()
-        .join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-        .select("leader", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    )
-    labelled = stage(labelled, "labelled")
-    spread = labelled.groupBy("leader").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("leader")
-    rows = stage(labelled.join(stage(spread, "spread").hint("merge"), "leader"), "mixed")
+    rows = stage(_mixed(buckets.select("key", "leader", "rep", "n_shingles"), found), "mixed")
     docs = rows.select("rep", "n_shingles", "c").distinct()
     items = docs.join(sets.hint("merge"), "rep").select("rep", "n_shingles", "c", F.explode("items").alias("item"))
     several = items.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("item")
@@ -269,12 +269,40 @@ def _residual(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold:
         .where(F.col("common_most") >= F.col("n_shingles") * low)
         .select("rep")
     )
-    left = stage(rows.join(bound.hint("merge"), "rep").select("leader", "rep", "c"), "open")
-    per = left.groupBy("leader", "c").agg(F.count("*").alias("k"))
-    size = per.groupBy("leader").agg(F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("c", F.struct("k", "c")).alias("major")).where("m > most")
-    size = stage(size, "size")
-    dealt = left.join(size.hint("merge"), "leader").select(
-        "leader", "rep", "c", (F.col("c") != F.col("major")).alias("outside"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("m") / SLICE).alias("slices")
+    return stage(rows.join(bound.hint("merge"), "rep").select("key", "leader", "rep", "n_shingles"), "open")
+
+
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (key, rep, ...) with their component c, of the entries that hold several components."""
+    labelled = rows.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    labelled = stage(labelled, "labelled")
+    spread = stage(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "spread")
+    return labelled.join(spread.hint("merge"), "key")
+
+
+def _led(mixed: DataFrame, number: int) -> DataFrame:
+    """(leader, member): members outside the commonest component of their entry, and a member of that component, drawn anew each round."""
+    drawn = F.xxhash64(F.lit(number), "rep")
+    per = mixed.groupBy("key", "c").agg(F.count("*").alias("k"), F.min_by("rep", drawn).alias("lead"))
+    major = per.groupBy("key").agg(F.max_by(F.struct("lead", "c"), F.struct("k", "c")).alias("m"))
+    major = stage(major.select("key", F.col("m.lead").alias("lead"), F.col("m.c").alias("major")), "major")
+    return mixed.join(major.hint("merge"), "key").where("c != major").select(F.col("lead").alias("leader"), F.col("rep").alias("member")).distinct()
+
+
+def _residual(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components among the members of one leader.
+
+    All that ever met in a table entry share that entry's leader, so that members of one leader
+    cover all candidates. All outside a leader's most common component (in blocks, held in memory as
+    one) meet all its members (streamed), each block and slice of members in a group of its own.
+    Blocks and slices are of about BLOCK and SLICE shingles, so that few texts are dealt twice.
+    """
+    left = stage(mixed.select("leader", "rep", "n_shingles", "c").distinct(), "left")
+    per = left.groupBy("leader", "c").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
+    size = per.groupBy("leader").agg(F.sum("k").alias("m"), F.sum("n").alias("n"), F.max(F.struct("k", "c", "n")).alias("top")).where("m > top.k")
+    size = stage(size.select("leader", "n", F.col("top.c").alias("major"), (F.col("n") - F.col("top.n")).alias("apart")), "size")
+    dealt = left.drop("n_shingles").join(size.hint("merge"), "leader").select(
+        "leader", "rep", "c", (F.col("c") != F.col("major")).alias("outside"), F.ceil(F.col("apart") / BLOCK).alias("blocks"), F.ceil(F.col("n") / SLICE).alias("slices")
     )
     dealt = stage(dealt, "dealt")
     held = dealt.where("outside").select(
@@ -310,18 +338,21 @@ def _meet(threshold: float):
                 if heads[i] == 0:
                     block.append((reps[i], comps[i], mine.copy()))
                     continue
-                if not block:
+                if not block and index is None:
                     continue
-                if index is None:
-                    flat = np.concatenate([x[2] for x in block])
+                if index is None:  # the block's shingles in order, each with the number of its text
                     sizes = np.array([len(x[2]) for x in block])
-                    index = (flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, np.array([x[1] for x in block]))
-                flat, starts, sizes, owners = index
-                at = np.searchsorted(mine, flat)
-                at[at == len(mine)] = 0
-                common = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
-                linked = (common * 10_000 >= (sizes + len(mine) - common) * bar) & (owners != comps[i])
-                out += [(block[j][0], reps[i]) for j in np.flatnonzero(linked)]
+                    flat = np.concatenate([x[2] for x in block])
+                    order = np.argsort(flat, kind="stable")
+                    index = (flat[order], np.repeat(np.arange(len(block)), sizes)[order], sizes, np.array([x[0] for x in block]), np.array([x[1] for x in block]))
+                    block = []
+                flat, owners, sizes, names, parts = index
+                start, end = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                many = end - start
+                at = np.arange(many.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                common = np.bincount(owners[at], minlength=len(sizes))
+                linked = (common * 10_000 >= (sizes + len(mine) - common) * bar) & (parts != comps[i])
+                out += [(names[j], reps[i]) for j in np.flatnonzero(linked)]
             columns = list(zip(*out, strict=True)) if out else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b"])
 
