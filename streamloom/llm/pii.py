@@ -85,7 +85,7 @@ TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 SYMBOLS = 100
 EMBED, HIDDEN = 12, 14
 #: Training: windows made, their width, Adam steps, windows in a step, and the first rate.
-MADE, TRAINED, STEPS, BATCH, RATE = 8000, 128, 1100, 48, 0.02
+MADE, TRAINED, STEPS, BATCH, RATE = 12000, 128, 1500, 48, 0.03
 #: Probability from which on a decoded span is added.
 LEAST = 0.9
 #: Windows decoded side by side.
