@@ -30,6 +30,8 @@ SMOOTHING = 0.1
 BLOCK = 1 << 19
 #: Documents of each language that the model is fitted on, about: those of the smallest id hashes.
 FIT_DOCS = 2000
+#: Languages that a model may have: its table, 2**18 bytes a language, goes to every executor.
+MOST_LANGUAGES = 1024
 
 _letter: np.ndarray | None = None
 
@@ -77,13 +79,15 @@ def fit(rows: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     """(languages, likelihoods by slot and language) from rows (doc_id, text, lang).
 
     Fitted on about fit_docs rows of each language, those whose id hashes are smallest; rows with
-    null ids, texts or languages are left out. Sent to the driver are at most 2**16 counts for
-    each language.
+    null ids, texts or languages are left out, and nothing is learned from an empty table. Sent to the driver are at most 2**16 counts for
+    each language; more than MOST_LANGUAGES raise.
     """
     rows = rows.where("doc_id is not null and text is not null and lang is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.empty((SLOTS, 0), np.float32)
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{len(sizes)} languages to learn, {MOST_LANGUAGES} at most")
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     found = picked.select("lang", "text").mapInArrow(_counts, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
