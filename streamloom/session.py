@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _own_dirs: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 #: Bounds on batches, set where nobody set others.
@@ -76,9 +77,29 @@ def stage(df: DataFrame, name: str = "stage", whole: bool = False) -> DataFrame:
     if not whole:
         df = df.coalesce(partitions_for(df, 64 << 20, 4 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a folder, as the JVM has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all tables staged so far and return their number; results that still read them are lost.
+
+    Without it they go when the driver ends in order.
+    """
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        files, place = _files(spark, path)
+        files.delete(place, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -162,7 +162,12 @@ class Engine:
     def _start(self, key: tuple, shared: _Shared, place: str, each: Callable, mode: str = "append") -> None:
         if shared.running is None or not shared.running.isActive:
             writer = shared.source.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{self.folder}/{place}")
-            shared.running = (writer.trigger(**shared.trigger) if shared.trigger else writer).start()
+            # Where the scheduler is fair, each application has a pool of its own.
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", str(key[0]))
+            try:
+                shared.running = (writer.trigger(**shared.trigger) if shared.trigger else writer).start()
+            finally:
+                self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
     # --- running
 

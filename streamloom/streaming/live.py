@@ -203,6 +203,19 @@ def live_punctuated(df: DataFrame, is_watermark: str, watermark: str, ts: str, s
     return live_scan(df, key_by, [seq], schema, lambda: None, step)
 
 
+def live_drop_late(df: DataFrame, mark: str, ts: str, seq: str, key_by: str | None) -> DataFrame:
+    """Rows that aren't late, watermark rows among them; rows come in order of seq."""
+
+    def step(state, row):
+        values, at = tuple(row[c] for c in df_columns), row[ts]
+        if row[mark]:
+            return (at if state is None else state if at is None else max(state, at)), [values]
+        return state, [] if at is None or state is not None and at <= state else [values]
+
+    df_columns = df.columns
+    return live_scan(df, key_by, [seq], df.schema, lambda: None, step)
+
+
 def live_union(df: DataFrame, side: str, ts: str, seq: str, is_watermark: str | None = None) -> DataFrame:
     """Rows of two tagged streams (side 0 or 1) in order of event time, left before right among equals.
 

@@ -182,3 +182,26 @@ def test_ordered_union(spark, lived):
     assert [r.value for r in plain[0].union(plain[1], ordered=True).df.orderBy("seq").collect()] == list("adebfcg")
     tie = [Stream(spark.createDataFrame([r], "value string, ts long, seq long")) for r in (("l", 1, 5), ("r", 1, 0))]
     assert [r.value for r in tie[0].union(tie[1], ordered=True).df.orderBy("ts", "seq").collect()] == ["l", "r"]
+
+
+def test_late_rows_and_clock(spark, lived):
+    from streamloom.streaming.watermark import clocked, drop_late
+
+    data = [(1, 100, 0, False), (None, 500, 1, True), (2, 500, 2, False), (3, 501, 3, False), (None, 300, 4, True), (4, 450, 5, False), (5, None, 6, False)]
+    want = [0, 1, 3, 4]
+    assert sorted(r.seq for r in lived(INTS, [data[:3], data[3:]], lambda df: drop_late(df, "wm"))) == want
+    assert sorted(r.seq for r in drop_late(spark.createDataFrame(data, INTS), "wm").collect()) == want
+    rate = spark.readStream.format("rate").load().select(F.col("value"), F.unix_millis("timestamp").alias("ts"), F.col("value").alias("seq"))
+    marked = clocked(rate, 500, 100)
+    out = []
+    query = marked.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    import time
+
+    end = time.time() + 20
+    while time.time() < end and not any(r.is_watermark for r in out):
+        time.sleep(0.3)
+    query.stop()
+    marks = [r for r in out if r.is_watermark]
+    assert marks and all(r.value is None and r.ts < time.time() * 1000 - 100 for r in marks)
+    with pytest.raises(ValueError):
+        clocked(rate, 0)
