@@ -66,16 +66,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def stage(df: DataFrame, name: str = "stage", whole: bool = False) -> DataFrame:
+#: Rows of a few numbers in one file of a small staged table.
+ROWS = 250_000
+
+
+def stage(df: DataFrame, name: str = "stage", whole: bool = False, rows: int | None = None) -> DataFrame:
     """Write a result to the shared folder and read it again: cuts lineage, survives lost executors.
 
     Small results of many partitions are written as fewer files: four for each core at most, or one
-    for every 64 MB that df reads, if that is more. whole keeps one file for each partition.
+    for every 64 MB that df reads, if that is more; where a caller knows that there are about `rows`
+    narrow rows, one for every ROWS of them. whole keeps one file for each partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not whole:
-        df = df.coalesce(partitions_for(df, 64 << 20, 4 * spark.sparkContext.defaultParallelism))
+        files = partitions_for(df, 64 << 20, 4 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(files if rows is None else min(files, rows // ROWS + 1))
     df.write.parquet(path)
     _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
