@@ -24,14 +24,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     mark = _mark(now)
     for _ in range(max_rounds):
+        rows = 2 * mark[0]  # what each of the round's tables has at most
         both = now.union(now.select("v", "u"))
         # Aggregates are read anew before they are joined, so that the planner can split a hub.
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", rows=rows)
         large = (
             both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
-        large = stage(large, "large")
-        small_least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = stage(large, "large", rows=rows)
+        small_least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least", rows=rows)
         small = large.join(small_least.hint("merge"), "u")
         now = stage(
             small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -39,6 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u != v")
             .distinct(),
             "edges",
+            rows=rows,
         )
         after = _mark(now)
         if after == mark:

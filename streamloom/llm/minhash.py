@@ -131,16 +131,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["leader", "member", "common", "total"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """(leader, member, common, total) of each pair, on full sets.
 
     The members of a leader are dealt over groups of about FAN rows, each with a copy of the
     leader's set, so that a leader of many members doesn't land in one task.
     """
-    pairs = stage(pairs, "found")
-    counts = stage(pairs.groupBy("leader").agg(F.count("*").alias("k")), "counts")  # read anew, as crowds are
+    pairs = stage(pairs, "found", rows=rows)
+    counts = stage(pairs.groupBy("leader").agg(F.count("*").alias("k")), "counts", rows=rows)  # read anew, as crowds are
     dealt = stage(
-        pairs.join(counts.hint("merge"), "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / FAN)).alias("g")), "pairs"
+        pairs.join(counts.hint("merge"), "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / FAN)).alias("g")), "pairs", rows=rows
     )
     member_rows = dealt.join(sets.hint("merge"), dealt.member == sets.rep).select("leader", "g", "member", F.lit(1).alias("head"), "items")
     groups = dealt.select("leader", "g").distinct()
@@ -223,34 +223,36 @@ def near_duplicates(
     givers = contents.select("rep", "doc_id").join(members.hint("merge"), "rep", "left_semi").select("doc_id").distinct()
     given = slim.join(givers.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words), "n_shingles long, s1 long, s2 long, items array<long>")
     sets = stage(given.select(content.alias("rep"), "items").groupBy("rep").agg(F.first("items").alias("items")), "sets")
-    checked = stage(_verify(pairs, sets), "checked")
+    met = buckets.count()  # of all tables below that pair contents, none has more rows
+    checked = stage(_verify(pairs, sets, met), "checked")
     is_link = F.col("common") * 10_000 >= F.col("total") * bar
     links = checked.where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
     found = connected_components(links)
 
-    rows = _open(buckets, found, sets, threshold)
+    rows = _open(buckets, found, sets, threshold, met)
     for number in range(ROUNDS):
-        mixed = _mixed(rows, found)
-        fresh = stage(_led(mixed, number), "led")
+        mixed = _mixed(rows, found, met)
+        fresh = stage(_led(mixed, number, met), "led", rows=met)
         if fresh.isEmpty():
             break
-        more = stage(_verify(fresh, sets), "checked").where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        found = stage(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    again = stage(_residual(_mixed(rows, found), sets, threshold), "again")
+        more = stage(_verify(fresh, sets, met), "checked").where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+        found = stage(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components", rows=met)
+    again = stage(_residual(_mixed(rows, found, met), sets, threshold, met), "again")
     edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(again)
     joined = connected_components(edges).withColumnRenamed("id", "rep")
     # Each component of contents goes by its least id; an id of several contents joins theirs.
     parts = contents.select("rep", "doc_id").join(joined.hint("merge"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("c"))
-    parts = stage(parts, "parts")
-    names = stage(parts.groupBy("c").agg(F.min("doc_id").alias("name")), "names")  # read anew, so that the join can split a large one
-    named = stage(parts.join(names.hint("merge"), "c").select("rep", "name"), "named")
+    known = contents.count()
+    parts = stage(parts, "parts", rows=known)
+    names = stage(parts.groupBy("c").agg(F.min("doc_id").alias("name")), "names", rows=known)  # read anew, so that the join can split a large one
+    named = stage(parts.join(names.hint("merge"), "c").select("rep", "name"), "named", rows=known)
     final = connected_components(usable.select("doc_id", "rep").join(named.hint("merge"), "rep").select(F.col("doc_id").alias("a"), F.col("name").alias("b")))
     out = features.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
     """(key, leader, rep, n_shingles) of the members of table entries that a link may join to another component there.
 
     A shingle that only one component has is in no link to another one, which bounds what a text can
@@ -258,7 +260,7 @@ def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     when components grow.
     """
     low = threshold - 1e-9
-    rows = stage(_mixed(buckets.select("key", "leader", "rep", "n_shingles"), found), "mixed")
+    rows = stage(_mixed(buckets.select("key", "leader", "rep", "n_shingles"), found, most), "mixed", rows=most)
     docs = rows.select("rep", "n_shingles", "c").distinct()
     items = docs.join(sets.hint("merge"), "rep").select("rep", "n_shingles", "c", F.explode("items").alias("item"))
     several = items.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("item")
@@ -272,24 +274,24 @@ def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: floa
     return stage(rows.join(bound.hint("merge"), "rep").select("key", "leader", "rep", "n_shingles"), "open")
 
 
-def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, found: DataFrame, most: int) -> DataFrame:
     """rows (key, rep, ...) with their component c, of the entries that hold several components."""
     labelled = rows.join(found.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    labelled = stage(labelled, "labelled")
-    spread = stage(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "spread")
+    labelled = stage(labelled, "labelled", rows=most)
+    spread = stage(labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key"), "spread", rows=most)
     return labelled.join(spread.hint("merge"), "key")
 
 
-def _led(mixed: DataFrame, number: int) -> DataFrame:
+def _led(mixed: DataFrame, number: int, most: int) -> DataFrame:
     """(leader, member): members outside the commonest component of their entry, and a member of that component, drawn anew each round."""
     drawn = F.xxhash64(F.lit(number), "rep")
     per = mixed.groupBy("key", "c").agg(F.count("*").alias("k"), F.min_by("rep", drawn).alias("lead"))
     major = per.groupBy("key").agg(F.max_by(F.struct("lead", "c"), F.struct("k", "c")).alias("m"))
-    major = stage(major.select("key", F.col("m.lead").alias("lead"), F.col("m.c").alias("major")), "major")
+    major = stage(major.select("key", F.col("m.lead").alias("lead"), F.col("m.c").alias("major")), "major", rows=most)
     return mixed.join(major.hint("merge"), "key").where("c != major").select(F.col("lead").alias("leader"), F.col("rep").alias("member")).distinct()
 
 
-def _residual(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _residual(mixed: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
     """Links (a, b) between different components among the members of one leader.
 
     All that ever met in a table entry share that entry's leader, so that members of one leader
@@ -297,14 +299,14 @@ def _residual(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     one) meet all its members (streamed), each block and slice of members in a group of its own.
     Blocks and slices are of about BLOCK and SLICE shingles, so that few texts are dealt twice.
     """
-    left = stage(mixed.select("leader", "rep", "n_shingles", "c").distinct(), "left")
+    left = stage(mixed.select("leader", "rep", "n_shingles", "c").distinct(), "left", rows=most)
     per = left.groupBy("leader", "c").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("n"))
     size = per.groupBy("leader").agg(F.sum("k").alias("m"), F.sum("n").alias("n"), F.max(F.struct("k", "c", "n")).alias("top")).where("m > top.k")
-    size = stage(size.select("leader", "n", F.col("top.c").alias("major"), (F.col("n") - F.col("top.n")).alias("apart")), "size")
+    size = stage(size.select("leader", "n", F.col("top.c").alias("major"), (F.col("n") - F.col("top.n")).alias("apart")), "size", rows=most)
     dealt = left.drop("n_shingles").join(size.hint("merge"), "leader").select(
         "leader", "rep", "c", (F.col("c") != F.col("major")).alias("outside"), F.ceil(F.col("apart") / BLOCK).alias("blocks"), F.ceil(F.col("n") / SLICE).alias("slices")
     )
-    dealt = stage(dealt, "dealt")
+    dealt = stage(dealt, "dealt", rows=most)
     held = dealt.where("outside").select(
         "leader", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("head"), "rep", "c"
     )
