@@ -83,13 +83,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 WINDOW, OVERLAP = 320, 32
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 SYMBOLS = 100
-EMBED, HIDDEN = 12, 14
+EMBED, HIDDEN = 12, 10
 #: Training: windows made, their width, Adam steps, windows in a step, and the first rate.
-MADE, TRAINED, STEPS, BATCH, RATE = 12000, 128, 1500, 48, 0.03
+MADE, TRAINED, STEPS, BATCH, RATE = 16000, 128, 2200, 48, 0.03
 #: Probability from which on a decoded span is added.
 LEAST = 0.9
-#: Windows decoded side by side.
-SIDE_BY_SIDE = 256
+#: Windows scored side by side, and windows that may hold spans searched together, about.
+SIDE_BY_SIDE, SEARCHED = 512, 256
 #: Digits that a kind has at least and at most.
 DIGITS = {"email": (0, 64), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
@@ -380,38 +380,48 @@ def _worth_search(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def _found(scores: np.ndarray, trans: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(window, first, last, kind, log probability) of the spans in the best paths of windows."""
-    width = len(scores)
-    at = _worth_search(scores, trans)
-    out = []
-    for lo in range(0, len(at), 64):
-        some = at[lo : lo + 64]
-        mine = scores[:, :, some]
-        paths = _viterbi(mine, trans)
-        inside = np.flatnonzero(paths.any(axis=1))
-        if not len(inside):
-            continue
-        mine, paths = mine[:, :, inside].astype(np.float64), paths[inside]
-        alpha, beta, log_z = _sums(mine, trans.astype(np.float64))
-        for j, tags in enumerate(paths):
-            marks = np.flatnonzero(tags)
-            i = 0
-            while i < len(marks):
-                a = b = int(marks[i])
-                kind = int(tags[a] - 1) // 2
-                inner = 2 * kind + 2
-                while b + 1 < width and tags[b + 1] == inner:
-                    b += 1
-                value = alpha[a, tags[a], j] + sum(trans[tags[t - 1], inner] + mine[t, inner, j] for t in range(a + 1, b + 1))
-                if b + 1 < width:
-                    on = trans[tags[b]] + mine[b + 1, :, j] + beta[b + 1, :, j]
-                    on[inner] = -np.inf
-                    value += np.logaddexp.reduce(on)
-                out.append((int(some[inside[j]]), a, b, kind, float(value - log_z[j])))
-                i = int(np.searchsorted(marks, b, "right"))
+    """(window, first, last, kind, log probability) of the spans in the best paths of windows (time, tags, windows)."""
+    width, out = len(scores), []
+    paths = _viterbi(scores, trans)
+    inside = np.flatnonzero(paths.any(axis=1))
+    if not len(inside):
+        return out
+    mine, paths = scores[:, :, inside].astype(np.float64), paths[inside]
+    alpha, beta, log_z = _sums(mine, trans.astype(np.float64))
+    for j, tags in enumerate(paths):
+        marks = np.flatnonzero(tags)
+        i = 0
+        while i < len(marks):
+            a = b = int(marks[i])
+            kind = int(tags[a] - 1) // 2
+            inner = 2 * kind + 2
+            while b + 1 < width and tags[b + 1] == inner:
+                b += 1
+            value = alpha[a, tags[a], j] + sum(trans[tags[t - 1], inner] + mine[t, inner, j] for t in range(a + 1, b + 1))
+            if b + 1 < width:
+                on = trans[tags[b]] + mine[b + 1, :, j] + beta[b + 1, :, j]
+                on[inner] = -np.inf
+                value += np.logaddexp.reduce(on)
+            out.append((int(inside[j]), a, b, kind, float(value - log_z[j])))
+            i = int(np.searchsorted(marks, b, "right"))
     return out
 
 
+def _spans_of(weights: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+    """_found of symbol windows (windows, time), scored side by side; those worth a search are searched together."""
+    held: list[np.ndarray] = []
+    places: list[int] = []
+    for lo in range(0, len(x), SIDE_BY_SIDE):
+        scores, _ = _forward(weights, x[lo : lo + SIDE_BY_SIDE], False)
+        at = _worth_search(scores, weights["T"])
+        held.append(scores[:, :, at])
+        places += (lo + at).tolist()
+        if places and (len(places) >= SEARCHED or lo + SIDE_BY_SIDE >= len(x)):
+            for r, *span in _found(np.concatenate(held, axis=2), weights["T"]):
+                yield places[r], *span
+            held, places = [], []
+
+
 def decoded_spans(texts: list[str], weights: dict) -> list[list[tuple[str, int, int, float]]]:
     """(kind, start, end, probability) of the spans that the network finds in each text, reconciled."""
     groups: dict[int, list[tuple[int, int]]] = {}
@@ -421,18 +431,15 @@ def decoded_spans(texts: list[str], weights: dict) -> list[list[tuple[str, int,
             groups.setdefault(width, []).append((i, start))
     found: list[list[tuple]] = [[] for _ in texts]
     for width, places in groups.items():
-        for lo in range(0, len(places), SIDE_BY_SIDE):
-            some = places[lo : lo + SIDE_BY_SIDE]
-            x = np.zeros((len(some), width), np.uint8)
-            for r, (i, start) in enumerate(some):
-                part = codes[i][start : start + width]
-                x[r, : len(part)] = part
-            scores, _ = _forward(weights, x, False)
-            for r, a, b, kind, value in _found(scores, weights["T"]):
-                i, start = some[r]
-                length = len(texts[i])
-                if start + a < length:
-                    found[i].append((start + a, min(start + b + 1, length), KINDS[kind], value, start, a == 0 and start > 0, b == width - 1 and start + width < length))
+        x = np.zeros((len(places), width), np.uint8)
+        for r, (i, start) in enumerate(places):
+            part = codes[i][start : start + width]
+            x[r, : len(part)] = part
+        for r, a, b, kind, value in _spans_of(weights, x):
+            i, start = places[r]
+            length = len(texts[i])
+            if start + a < length:
+                found[i].append((start + a, min(start + b + 1, length), KINDS[kind], value, start, a == 0 and start > 0, b == width - 1 and start + width < length))
     return [_reconciled(spans, len(t)) for spans, t in zip(found, texts, strict=True)]
 
 

@@ -57,6 +57,7 @@ def test_paths_by_brute_force(monkeypatch):
             best = max(value, key=value.get)
             total = np.logaddexp.reduce(list(value.values()))
             assert any(best) <= (w in searched)
+            assert any(best) == any(f[0] == w for f in found)
             for _, a, b, kind, log_p in (f for f in found if f[0] == w):
                 inner = 2 * kind + 2
                 assert best[a] in (inner - 1, inner) and all(k == inner for k in best[a + 1 : b + 1])
