@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from streamloom.functions.ordered import numbered
 from streamloom.operators import cep as _cep
@@ -183,7 +183,7 @@ class Stream:
         if self.df.isStreaming:
             if mode == "final":
                 raise ValueError("a live stream has no final reduction")
-            return live.live_reduce(self.df, key, value, reduce, self.ts, self.seq, counts)
+            return live.live_reduce(self.df, key, value, reduce, self.ts, self.seq, self._kind(value, reduce, counts), counts)
         if not callable(how):
             if mode == "final":
                 return self.df.groupBy(key).agg(REDUCERS[how](value).alias(value))
@@ -201,8 +201,13 @@ class Stream:
         slim = self.df.select(*dict.fromkeys([key, value, ts, seq]))
         return sorted_scan(slim, key, [ts, seq], StructType(fields), lambda: (None, None), step, (lambda state: [state]) if last else None)
 
+    def _kind(self, value: str, reduce: Callable | None, counts: bool) -> DataType:
+        """The type of a reduction's results: sums are as wide as Spark's, functions keep the values' type."""
+        wide = F.count(value) if counts else F.sum(value) if reduce is _PLAIN["sum"] else F.max(value)
+        return self.df.select(wide).schema[0].dataType
+
     def _reduced_map(self, key: str, value: str, reduce: Callable | None, counts: bool) -> DataFrame:
-        kind = "bigint" if counts or reduce is _PLAIN["sum"] and self.df.schema[value].dataType.simpleString() in ("int", "smallint", "tinyint") else self.df.schema[value].dataType.simpleString()
+        kind = self._kind(value, reduce, counts).simpleString()
         schema = StructType([*StructType.fromDDL(f"state map<{self.df.schema[key].dataType.simpleString()},{kind}>").fields, self.df.schema[self.ts], self.df.schema[self.seq]])
         ts, seq = self.ts, self.seq
 

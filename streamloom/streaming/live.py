@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from streamloom.session import ready
 from streamloom.streaming.scan import as_keys, to_batch
@@ -173,9 +173,9 @@ def each_window(windows: DataFrame, function: Callable, schema: StructType | str
 # --- the other operators ---------------------------------------------------------------------
 
 
-def live_reduce(df: DataFrame, key: str, value: str, reduce: Callable, ts: str, seq: str, counts: bool = False) -> DataFrame:
+def live_reduce(df: DataFrame, key: str, value: str, reduce: Callable, ts: str, seq: str, kind: DataType, counts: bool = False) -> DataFrame:
     """(key, value, ts, seq) after each row: the reduction of the key's values so far; nulls are passed over."""
-    out = StructType([df.schema[key], StructField(value, LongType()) if counts else df.schema[value], df.schema[ts], df.schema[seq]])
+    out = StructType([df.schema[key], StructField(value, kind), df.schema[ts], df.schema[seq]])
 
     def step(state, row):
         x = row[value]
