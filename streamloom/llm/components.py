@@ -23,6 +23,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     mark = _mark(now)
+    if not mark[0]:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         rows = 2 * mark[0]  # what each of the round's tables has at most
         both = now.union(now.select("v", "u"))

@@ -230,28 +230,41 @@ def near_duplicates(
     found = connected_components(links)
 
     rows = _open(buckets, found, sets, threshold, met)
-    for number in range(ROUNDS):
-        mixed = _mixed(rows, found, met)
-        fresh = stage(_led(mixed, number, met), "led", rows=met)
-        if fresh.isEmpty():
-            break
-        more = stage(_verify(fresh, sets, met), "checked").where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        found = stage(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components", rows=met)
-    again = stage(_residual(_mixed(rows, found, met), sets, threshold, met), "again")
-    edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(again)
-    joined = connected_components(edges).withColumnRenamed("id", "rep")
+    joined = found if rows.isEmpty() else _rejoined(rows, found, sets, threshold, met)
+    joined = joined.withColumnRenamed("id", "rep")
     # Each component of contents goes by its least id; an id of several contents joins theirs.
     parts = contents.select("rep", "doc_id").join(joined.hint("merge"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("c"))
     known = contents.count()
     parts = stage(parts, "parts", rows=known)
     names = stage(parts.groupBy("c").agg(F.min("doc_id").alias("name")), "names", rows=known)  # read anew, so that the join can split a large one
     named = stage(parts.join(names.hint("merge"), "c").select("rep", "name"), "named", rows=known)
-    final = connected_components(usable.select("doc_id", "rep").join(named.hint("merge"), "rep").select(F.col("doc_id").alias("a"), F.col("name").alias("b")))
+    final = usable.select("doc_id", "rep").join(named.hint("merge"), "rep").select(F.col("doc_id").alias("a"), F.col("name").alias("b"))
+    several = usable.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi")
+    if several.isEmpty():
+        final = final.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
+    else:
+        final = connected_components(final)
     out = features.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _rejoined(rows: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """found with the components joined that links among rows (_open) join."""
+    is_link = F.col("common") * 10_000 >= F.col("total") * round(threshold * 10_000)
+    edges = lambda found: found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    for number in range(ROUNDS):
+        fresh = stage(_led(_mixed(rows, found, most), number, most), "led", rows=most)
+        if fresh.isEmpty():
+            return found
+        more = stage(_verify(fresh, sets, most), "checked").where(is_link).select(F.col("leader").alias("a"), F.col("member").alias("b"))
+        if more.isEmpty():
+            break
+        found = stage(connected_components(edges(found).union(more)), "components", rows=most)
+    again = stage(_residual(_mixed(rows, found, most), sets, threshold, most), "again")
+    return found if again.isEmpty() else connected_components(edges(found).union(again))
+
+
 def _open(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
     """(key, leader, rep, n_shingles) of the members of table entries that a link may join to another component there.
 
