@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over documents, each calling one operator."""
+"""A corpus pipeline of five stages over documents, each calling one operator.
+
+Every stage takes an empty table to an empty one, keeps columns that it doesn't know, whatever their
+names, and treats repeated rows and rows without an id as its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,11 @@ LEAST_SHARE = 0.4
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters and a language that has at least LEAST_SHARE of them."""
+    """Documents with letters and a language that has at least LEAST_SHARE of them.
+
+    Learned from all rows whose lang is not null. Null texts and texts without a letter go, and all
+    go if no lang is known; repeated rows, and rows without an id, stay or go by their text.
+    """
     columns = docs.columns
     found = language.identify(docs, F.col("lang").isNotNull())
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*columns)
@@ -24,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, and all without an id.
 
     Of rows that agree in id and text one is kept, the least by its other columns; an id with
-    several texts keeps each of them.
+    several texts keeps each of them. Null and empty texts are duplicates of nothing.
     """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = kept.select(F.col("doc_id").alias("_id"), "_rows")
@@ -37,17 +45,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind, and n_chars counted anew; null texts stay null."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: up to three times, or not at all.
+
+    A null source is a source like others. Texts without a word count nothing and are taken as often
+    as their source's rate says.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document."""
+    """The pieces of each document with its id, lang and source; null and empty texts have none."""
     return pieces.encode(docs, PIECES, keep=("lang", "source"))
 
 
