@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import language, minhash, mixing, pieces, pii
+from streamloom.llm.names import set_aside
 from streamloom.llm.queries import PIECES
 from streamloom.session import stage, table
 
@@ -23,9 +24,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Learned from all rows whose lang is not null. Null texts and texts without a letter go, and all
     go if no lang is known; repeated rows, and rows without an id, stay or go by their text.
     """
-    columns = docs.columns
+    docs, back = set_aside(docs, ("lang_pred", "score", "languages"))
     found = language.identify(docs, F.col("lang").isNotNull())
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*columns)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*back)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that agree in id and text one is kept, the least by its other columns; an id with
     several texts keeps each of them. Null and empty texts are duplicates of nothing.
     """
+    docs, back = set_aside(docs, ("_id", "_rows", "_zero", "_other"))
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = kept.select(F.col("doc_id").alias("_id"), "_rows")
     found = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == F.col("_id"))
@@ -41,7 +43,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     many = found.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_zero"), *[F.col(f"`{c}`") for c in others])).alias("_other"))
     many = many.select("doc_id", "text", *[F.col("_other")[c].alias(c) for c in others]).select(*columns)
-    return found.where("_rows = 1").select(*columns).union(many).union(docs.where("doc_id is null"))
+    return found.where("_rows = 1").select(*columns).union(many).union(docs.where("doc_id is null")).select(*back)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

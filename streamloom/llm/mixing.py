@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.llm.names import set_aside
 from streamloom.session import ready, stage
 
 #: Documents or residuals that a node of the tree joins, about.
@@ -165,6 +166,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     agree in id, source and size share their copies, the first ones getting one more. All columns
     are kept, whatever their names. An empty table gives an empty result.
     """
+    docs, back = set_aside(docs, ("_size", "_id", "_source", "_n", "_m", "_total", "_copies", "_copy"))
     sized = docs.withColumn("_size", word_count(F.col("text")))
     taken = copies(sized.select("doc_id", "source", F.col("_size").alias("size")), weights, cap, seed)
     taken = stage(taken.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_m"), F.sum("copies").alias("_total")).where("_total > 0"), "taken")
@@ -176,4 +178,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
     many = found.where("_m > 1").withColumn("_copies", F.floor(F.col("_total") / F.col("_m")) + (turn <= F.col("_total") % F.col("_m")).cast("long"))
     rows = one.unionByName(many).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*back)
