@@ -286,6 +286,11 @@ class WindowedStream(_Windows):
             self._df = assign(self.source, self.spec, self.ts, self.seq, self.key_by, self.flush)
         return self._df
 
+    def _of(self, *columns: str) -> DataFrame:
+        """df with no more columns than are needed, so that numbering writes no others."""
+        slim = self.source.select(*dict.fromkeys([self.ts, self.seq, *([self.key_by] if self.key_by else []), *columns]))
+        return assign(slim, self.spec, self.ts, self.seq, self.key_by, self.flush)
+
     def summarise(self, keys: tuple[str, ...] = (), **named: str | tuple[str, str]) -> DataFrame:
         """One row for each window (and key): name="count" or name=(sum | max | min | count, column).
 
@@ -305,7 +310,7 @@ class WindowedStream(_Windows):
         single = len(columns) == 1 and not as_struct
         pick = lambda r: r[f"_v_{columns[0]}"] if single else F.struct(*[r[f"_v_{c}"].alias(c) for c in columns])
         data = F.transform(F.sort_array(F.collect_list(row)), pick)
-        return self.df.groupBy(*self._keep()).agg(data.alias("data"), F.max(self.ts).alias(self.ts))
+        return self._of(*columns).groupBy(*self._keep()).agg(data.alias("data"), F.max(self.ts).alias(self.ts))
 
     def reduce_by_key_window(self, key: str, value: str, how: str | Callable = "sum", as_map: bool = False) -> DataFrame:
         """The reduction of each key in each window; as one map for each window if as_map."""
@@ -321,14 +326,14 @@ class WindowedStream(_Windows):
         Rows are streamed through; no window is held.
         """
         keep = self._keep()
-        schema = StructType([*(self.df.schema[c] for c in keep), *StructType.fromDDL(f"result {result_type}").fields])
+        needs = getattr(function, "columns", None)
+        rows = self._of(*needs) if needs else self.df
+        schema = StructType([*(rows.schema[c] for c in keep), *StructType.fromDDL(f"result {result_type}").fields])
 
         def step(state, row):
             return (tuple(row[c] for c in keep), function.update(state[1], row)), []
 
         finish = lambda state: [(*state[0], function.produce(state[1]))]
-        needs = getattr(function, "columns", None)
-        rows = self.df.select(*dict.fromkeys([*keep, *needs, self.ts, self.seq])) if needs else self.df
         return sorted_scan(rows, keep, [self.ts, self.seq], schema, lambda: (None, function.initialize()), step, finish)
 
 

@@ -122,6 +122,7 @@ def summarise(df: DataFrame, spec, named: dict, ts: str = "ts", seq: str = "seq"
     windows: a row is counted once, however many windows hold it.
     """
     keys = [*dict.fromkeys([*([key_by] if key_by else []), *keys])]
+    df = df.select(*dict.fromkeys([ts, seq, *keys, *(c for c in (h[1] for h in named.values() if not isinstance(h, str)) if c != "*")]))
     if isinstance(spec, SessionWindow):
         df = df.where(F.col(ts).isNotNull())
         mine = [key_by] if key_by else []
