@@ -256,23 +256,6 @@ class _Windows:
         keep = [*self._keep(), self.ts]
         return live.each_window(windows, lambda a, b, data: [(function(a, b, data),)], f"result {result_type}", keep)
 
-    def reduce_function(self, key: str, value: str, reduce: Callable) -> DataFrame:
-        """The reduction of each key's values in each window by a function of two values."""
-        windows = self.collect(key, value, as_struct=True)
-        schema = StructType([self.source.schema[key], self.source.schema[value]])
-
-        def run(_start, _end, data):
-            out: dict = {}
-            for row in data:
-                k, x = row[key], row[value]
-                if k not in out or out[k] is None:
-                    out[k] = x
-                elif x is not None:
-                    out[k] = reduce(out[k], x)
-            return list(out.items())
-
-        return live.each_window(windows, run, schema, [c for c in self._keep() if c != key])
-
 
 class WindowedStream(_Windows):
     """Stored rows in windows; `df` has one row for each window that holds a row."""
@@ -312,6 +295,24 @@ class WindowedStream(_Windows):
         data = F.transform(F.sort_array(F.collect_list(row)), pick)
         return self._of(*columns).groupBy(*self._keep()).agg(data.alias("data"), F.max(self.ts).alias(self.ts))
 
+    def reduce_function(self, key: str, value: str, reduce: Callable) -> DataFrame:
+        """The reduction of each key's values in each window, in order, by a function of two values.
+
+        Rows are streamed through; no window is held. Rows of one ts and seq come by their values.
+        """
+        keep = [c for c in self._keep() if c != key]
+        rows = self._of(key, value)
+        schema = StructType([*(rows.schema[c] for c in keep), self.source.schema[key], self.source.schema[value]])
+
+        def step(state, row):
+            group, so_far = state
+            x = row[value]
+            so_far = x if so_far is None else so_far if x is None else reduce(so_far, x)
+            return (group or (*(row[c] for c in keep), row[key]), so_far), []
+
+        order = [c for c in dict.fromkeys([self.ts, self.seq, value]) if c not in (*keep, key)]
+        return sorted_scan(rows, [*keep, key], order, schema, lambda: (None, None), step, lambda state: [(*state[0], state[1])])
+
     def reduce_by_key_window(self, key: str, value: str, how: str | Callable = "sum", as_map: bool = False) -> DataFrame:
         """The reduction of each key in each window; as one map for each window if as_map."""
         _reducer(how)
@@ -371,6 +372,23 @@ class LiveWindows(_Windows):
 
         return live.each_window(self.collect(*columns, as_struct=True), run, schema, [c for c in self._keep() if c not in keys])
 
+    def reduce_function(self, key: str, value: str, reduce: Callable) -> DataFrame:
+        """The reduction of each key's values in each window by a function of two values."""
+        windows = self.collect(key, value, as_struct=True)
+        schema = StructType([self.source.schema[key], self.source.schema[value]])
+
+        def run(_start, _end, data):
+            out: dict = {}
+            for row in data:
+                k, x = row[key], row[value]
+                if k not in out or out[k] is None:
+                    out[k] = x
+                elif x is not None:
+                    out[k] = reduce(out[k], x)
+            return list(out.items())
+
+        return live.each_window(windows, run, schema, [c for c in self._keep() if c != key])
+
     def reduce_by_key_window(self, key: str, value: str, how: str | Callable = "sum") -> DataFrame:
         """As WindowedStream.reduce_by_key_window."""
         _reducer(how)

@@ -162,8 +162,8 @@ def each_window(windows: DataFrame, function: Callable, schema: StructType | str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = dict(zip(names, values, strict=True))
+            for i in range(batch.num_rows):  # to_pylist would make the rows of all the batch's windows at once
+                row = {n: c[i].as_py() for n, c in zip(names, batch.columns, strict=True)}
                 rows += [(*(row[c] for c in keep), *r) for r in function(row["win_start"], row["win_end"], row["data"])]
             yield to_batch(rows, arrow)
 

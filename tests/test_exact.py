@@ -1,5 +1,6 @@
 """Nulls, large integers, clashing names and other odd rows of the stream operators; panes and stretches against plain rows."""
 
+import gc
 import random
 import sys
 
@@ -112,3 +113,40 @@ def test_summaries_against_rows(spark, seed):
                         want[key, part[0], part[-1]], part = part, []
                     part.append(t)
             assert {k: sorted(v) for k, v in mine.items()} == want
+
+
+@pytest.mark.parametrize("key", (None, "k", "u"))
+def test_window_folds(spark, key):
+    """Functions of two values over windows, in order, with null keys, times and values; NaN is one key."""
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["x", None]), rnd.choice([1.5, float("nan"), None]), rnd.randint(0, 9) if rnd.random() < 0.8 else None, rnd.randint(0, 400) if rnd.random() < 0.95 else None, i) for i in range(150)]
+    s = Stream(spark.createDataFrame(rows, "u string, k double, v long, ts long, seq long"))
+    for spec in (TimeWindow(60, 25), CountWindow(12, 8), SessionWindow(3)):
+        w = s.window(spec, key_by=key)
+        want = {}
+        for r in sorted(w.df.collect(), key=lambda r: (r.ts, r.seq)):
+            group = str((r.win_start, r.win_end, *([r.u] if key == "u" else []), r.k))
+            old = want.setdefault(group, None)
+            want[group] = r.v if old is None else old if r.v is None else (old * 31 + r.v) % 1009
+        got = w.reduce_by_key_window("k", "v", lambda a, b: (a * 31 + b) % 1009)
+        names = ["win_start", "win_end", *(["u"] if key == "u" else []), "k", "v"]
+        assert got.columns == names
+        assert sorted((str(tuple(r[:-1])), str(r[-1])) for r in got.collect()) == sorted((g, str(x)) for g, x in want.items()), spec
+
+
+MARK, ROWS = 987654321, 5000
+
+
+def _alive() -> int:
+    """Values of the test's rows that this worker holds."""
+    return sum(type(x) is list and len(x) == 2 and type(x[0]) is int and x[0] == MARK for x in gc.get_objects())
+
+
+def test_windows_held(spark):
+    """A fold holds a batch of a window's rows at most; a function of whole windows holds one window."""
+    s = Stream(spark.range(ROWS).select(F.lit("a").alias("k"), F.array(F.lit(MARK).cast("long"), "id").alias("v"), F.col("id").alias("ts"), F.col("id").alias("seq")))
+    last = lambda a, b: [_alive() if b[1] == ROWS - 1 else 0, b[1]]
+    (fold,) = s.window(TimeWindow(ROWS, ROWS), flush=True).reduce_by_key_window("k", "v", last).collect()
+    assert fold.v[1] == ROWS - 1 and 0 < fold.v[0] <= 2000
+    held = s.window(TimeWindow(50, 50), flush=True).aggregate_function(lambda a, b, data: _alive(), "long", "v").collect()
+    assert [r.result for r in held] == [50] * (ROWS // 50)
